@@ -30,7 +30,7 @@ LOWER[0x41:0x5B] += 0x20
 HEAD = (np.arange(256) & 0xC0) != 0x80
 
 
-def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 15) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) of slices of a string column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -43,18 +43,22 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + max_bytes, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(at, at[lo] + max_bytes, "right")) - 1), lo + max_rows)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes, and each document's first run (one more at the end)."""
-    n = len(data)
+    return runs_of(is_word[data], offsets)
+
+
+def runs_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for places that are marked already."""
+    n = len(inside)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = is_word[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     cut = offsets[(offsets > 0) & (offsets < n)]

@@ -19,17 +19,17 @@ QUANTILES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9
 MAX_LABELLED = 20_000
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each whole text (null: as empty).
+def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key and the statistics of each whole text (null: as empty).
 
     Five-word windows are compared by a 64-bit hash of their words. A word is in a repeated window if one
     of the windows that start at it or up to four words before occurs twice or more in the text.
     """
-    t = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    s = t.select("doc_id", "t", F.array_remove(F.split("t", SPACE), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"))
+    t = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    s = t.select(key, "t", F.array_remove(F.split("t", SPACE), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"))
     n = F.size("w")
     s = s.select(
-        "doc_id",
+        key,
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -164,6 +164,13 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
+def decided(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The statistics with base_failed, rule and kept."""
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    s = stats.withColumn("base_failed", base).withColumn("rule", verdict(rules))
+    return s.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and the rule that decided.
 
@@ -171,6 +178,11 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     learned rule. Null and empty texts have no words and fail. Repeated rows each give a row. Columns other
     than doc_id and text are ignored. Without labelled rows there are no rules and the base decides.
     """
-    s = statistics(docs.select("doc_id", "text"))
-    s = s.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("rule", verdict(rules))
-    return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+    s = decided(statistics(docs.select("doc_id", "text")), rules)
+    return s.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents, all columns, that the base and the rules keep."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return decided(statistics(packed, "row"), rules).filter("kept").select("row.*")

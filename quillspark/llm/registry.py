@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, phrase_index, quality_rules, simhash
+from . import chat_repair, language_id, line_dedup, mixing, phrase_index, quality_classifier, quality_rules, simhash, token_ledger, toxicity
+from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,18 +26,46 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = Workspace(spark, "counts").table(token_ledger.counted(_table(spark, sf_dir, "documents")))
+    return token_ledger.maintain(_table(spark, sf_dir, "labels"), token_ledger.TokenLedger(spark), counts)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, *toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.render_roles(_table(spark, sf_dir, "conversations"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op7_decontamination, op9_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op4_token_ledger, op5_toxicity, op6_language_id, op7_decontamination, op8_chat_repair, op9_simhash, op10_quality)}
 
 
 DECONTAMINATION_SQL = r"""
@@ -56,4 +85,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL, "op7_decontamination": DECONTAMINATION_SQL}
+    return {"op2_mixing": mixing.MIX_SQL, "op4_token_ledger": token_ledger.LEDGER_SQL, "op7_decontamination": DECONTAMINATION_SQL}
