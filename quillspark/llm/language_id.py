@@ -37,7 +37,7 @@ def _buckets(points: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray
     """Hash bucket of the n-gram at each place, and which places hold a whole n-gram of one row."""
     key = np.zeros(len(points), np.uint64)
     for k in range(order):
-        key[: len(points) - k] += points[k:].astype(np.uint64) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) * (order + 1)) % (1 << 64) | 1)
+        key[: len(points) - k] += points[k:].astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, 4 * order + k, 1 << 64))
     key ^= key >> np.uint64(29)
     key *= np.uint64(0xBF58476D1CE4E5B9)
     whole = np.ones(len(points), bool)
