@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import graph_queries, recommend_queries, relational_queries, retrieval_queries, state_queries, text_queries  # noqa: F401
+from .register import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
