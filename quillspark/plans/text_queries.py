@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.chunking import chunk_documents, compress_texts
+from quillspark.operators.evaluation import pseudonym, rouge_l, sequence_similarity
 
 from .register import query
 from .retrieval_queries import token_sql
@@ -214,3 +216,34 @@ def s33_coverage(docs, bench):
     keys = bench.select("item_id", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{7,}"), F.lit(0)))).alias("k"))
     rows = keys.join(docs.select(F.col("doc_id").alias("item_id"), F.lower("text").alias("t")), "item_id")
     return rows.select("item_id", F.round(F.size(F.filter("k", lambda x: F.contains("t", x))) / F.greatest(F.lit(1), F.size("k")), 6).alias("coverage"))
+
+
+@query("documents")
+def g2_packed_chunks(docs):
+    """Chunks of whole sentences near a target size, with overlap."""
+    return chunk_documents(docs).select("doc_id", "chunk_index", F.length("body").alias("n"))
+
+
+@query("documents", "benchmark")
+def s31_rouge_l(docs, bench):
+    """ROUGE-L of each item against the document of its number."""
+    pairs = bench.select("item_id", F.col("text").alias("reference")).join(docs.select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(1500)).alias("answer")), "item_id")
+    return rouge_l(pairs, "item_id")
+
+
+@query("documents", "benchmark")
+def s32_sequence_similarity(docs, bench):
+    pairs = bench.join(docs.select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(1500)).alias("answer")), "item_id")
+    return pairs.select("item_id", sequence_similarity("text", "answer").alias("similarity"))
+
+
+@query("customer")
+def s27_pseudonym(customer):
+    return customer.select("c_custkey", pseudonym("salt")(F.col("c_name")).alias("pseudonym"))
+
+
+@query("documents", "benchmark")
+def v20_compress(docs, bench):
+    """Each item's document cut to the sentences nearest to the item."""
+    rows = bench.select("item_id", T.tokens(F.col("text")).alias("words")).join(docs.select(F.col("doc_id").alias("item_id"), "text"), "item_id")
+    return compress_texts(rows, "item_id").select("item_id", F.length("body").alias("n"))
