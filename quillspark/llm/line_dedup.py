@@ -39,7 +39,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
 
 def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lines' shingles (a shorter line is one shingle), and each line's first."""
-    factor = [_U(0x9E3779B97F4A7C15 * (2 * j + 1) % (1 << 64) | 1) for j in range(SHINGLE)]
+    factor = [_U(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64)) for j in range(SHINGLE)]
     key = np.zeros(len(points), _U)
     wide = points.astype(_U) + _U(1)
     for j in range(SHINGLE):
@@ -56,8 +56,12 @@ def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, line, k1, k2, n_lines, bands) of every line with a word; k1 and k2 together name its exact text.
 
-    Of several equal lines in a slice only the first has bands.
+    Of several equal lines in a slice only the first has bands. Each minimum is over the shingles' hashes times
+    an odd number plus another, modulo 2^32, both drawn anew for each.
     """
+    rng = np.random.default_rng(29)
+    factors = rng.integers(0, 1 << 32, (BANDS, ROWS), np.uint32) | np.uint32(1)
+    shifts = rng.integers(0, 1 << 32, (BANDS, ROWS), np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,14 +76,15 @@ def signatures(docs: DataFrame) -> DataFrame:
                 whole = (sums[ends] - sums[starts]) * kernels._power("inverse", len(points) + 1)[starts]
                 k1 = kernels.mixed(whole + (ends - starts).astype(_U))
                 k2 = kernels.mixed(np.add.reduceat(kernels.mixed(hashes + np.arange(len(hashes), dtype=_U) - np.repeat(first[:-1], np.diff(first)).astype(_U)), first[:-1]) ^ whole)
-                values = (hashes & _U(0xFFFFFFFF)).astype(np.uint32)
-                step = (hashes >> _U(32)).astype(np.uint32) | np.uint32(1)
+                low = (hashes >> _U(32)).astype(np.uint32)
+                values = np.empty_like(low)
                 bands = np.empty((len(starts), BANDS), _U)
                 for band in range(BANDS):
                     key = np.full(len(starts), band + 1, _U)
-                    for _ in range(ROWS):
+                    for r in range(ROWS):
+                        np.multiply(low, factors[band, r], out=values)
+                        values += shifts[band, r]
                         key = kernels.mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, first[:-1]))
-                        values += step
                     bands[:, band] = key
                 fresh = np.zeros(len(starts), bool)
                 fresh[np.unique(k1, return_index=True)[1]] = True
