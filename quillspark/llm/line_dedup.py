@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import connected
+from .ids import loose, solid
 from .workspace import Workspace
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -91,7 +92,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum(np.where(fresh, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total[doc].astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(bands[fresh].ravel().view(np.int64)))], ["doc_id", "line", "k1", "k2", "n_lines", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, k1 long, k2 long, n_lines int, bands array<long>")
+    return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, k1 long, k2 long, n_lines int, bands array<long>")
 
 
 def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +140,7 @@ def line_classes(docs: DataFrame, ws: Workspace, similarity: float = SIMILARITY)
     shared, pairs = candidates(lines, ws)
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at")).select(F.struct("k1", "k2").alias("node"), "at")
     wanted = first.join(shared.select("node").distinct(), "node").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node")).alias("want"))
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"]).join(wanted, "doc_id")
+    body = docs.select(solid(), F.col("text").cast("string").alias("text")).dropna(subset=["text"]).join(wanted, "doc_id")
     split = body.select(F.split("text", "\n").alias("parts"), "want").select(F.explode(F.transform("want", lambda w: F.struct(w.node.alias("node"), F.get("parts", w.line).alias("body")))).alias("x")).select("x.*")
     texts = ws.table(split.filter("body IS NOT NULL").dropDuplicates(["node"]))
     star = shared.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).unionByName(pairs).distinct()
@@ -162,7 +163,7 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of the lines of a class, which are equal or linked by near copies, the first by doc_id and number stays.
     Blank lines are never dropped and belong to no class. A null text has no lines. Rows that repeat a
-    doc_id count as one document. Other columns are ignored.
+    doc_id count as one document, and a null doc_id is one id, the largest. Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "lines")
     lines, classes = line_classes(docs, ws, similarity)
@@ -175,14 +176,17 @@ def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without their dropped lines; the other columns stay, n_chars is counted anew."""
     gone = dropped_lines(docs, similarity)
-    rest = F.array_join(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("dropped", e.i)), lambda e: e.x), "\n")
-    out = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn("text", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(rest))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), solid())
+    parts = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("dropped", e.i))
+    rest = F.array_join(F.transform(parts, lambda e: e.x), "\n")
+    row = F.col("row").withField("text", rest)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        row = row.withField("n_chars", F.length(rest).cast(docs.schema["n_chars"].dataType))
+    out = packed.join(gone, "doc_id", "left").select(F.when(F.col("dropped").isNull(), F.col("row")).otherwise(row).alias("row"))
+    return out.select("row.*")
 
 
 def digest(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_dropped and the dropped lines' numbers, for every document."""
     gone = dropped_lines(docs, similarity)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(gone, "doc_id", "left").select("doc_id", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    return docs.select(solid()).join(gone, "doc_id", "left").select(loose(), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
+from .ids import loose, solid
 from .workspace import Workspace
 
 #: So many test terms at most are handed to the index tasks (8 bytes each); with more, every term is indexed.
@@ -81,7 +82,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
                 who, at = np.concatenate([who, ids[lo:hi]]), np.concatenate([at, n.astype(np.int32)])
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(cuts)), pa.ListArray.from_arrays(cuts, pa.array(who, pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(at, pa.int32()))], ["term", "n", "docs", "at"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "term long, n int, docs array<long>, at array<int>")
+    return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "term long, n int, docs array<long>, at array<int>")
 
 
 def candidates(index: DataFrame, words: DataFrame, window: int = 10, slop: int = 0) -> DataFrame:
@@ -138,7 +139,7 @@ def exact_hits(rows: DataFrame, window: int) -> DataFrame:
                                 run_from = None
                     out_n.append(len(s))
                     out_hit.append(int((np.cumsum(hit)[:-1] > 0).sum()))
-                    out_items.append(sorted(items))
+                    out_items.append(sorted(items - {None}))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out_n, pa.int64()), pa.array(out_hit, pa.int64()), pa.array(out_items, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items"])
 
     return rows.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>")
@@ -149,8 +150,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
     Columns doc_id, n_words, n_hit, items (their ids, sorted). Null, empty and wordless texts have no words
     and no hits; items without words have no windows; an item of fewer words than ``window`` is one window.
-    Repeated rows of documents each give a row; repeated items count once. Other columns are ignored. With
-    either table empty nothing is hit.
+    Repeated rows of documents each give a row; repeated items count once. A null item_id is left out of
+    ``items``. Other columns are ignored. With either table empty nothing is hit.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "phrases")
@@ -163,11 +164,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     found = ws.table(candidates(index, words, window))
     texts = words.groupBy("uid").agg(F.first("item_id").alias("item_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word).alias("words"))
     places = found.join(texts, "uid").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diag", "words")).alias("places"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(places, "doc_id")
+    rows = docs.select(solid(), F.col("text").cast("string")).join(places, "doc_id")
     hits = exact_hits(rows, window)
     sizes = index.filter("term IS NULL").select(F.explode(F.arrays_zip("docs", "at")).alias("p")).select(F.col("p.docs").alias("doc_id"), F.col("p.at").cast("long").alias("n_words"))
     clean = sizes.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    return hits.unionByName(clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items")))
+    out = hits.unionByName(clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items")))
+    return out.select(loose(), "n_words", "n_hit", "items")
 
 
 def proximity(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3) -> DataFrame:

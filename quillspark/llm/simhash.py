@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import connected
+from .ids import loose, solid
 from .workspace import Workspace
 
 #: 64 bits in four blocks of 16. Two differing bits touch two blocks at most, so two others agree.
@@ -54,7 +55,7 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, fp): the fingerprint as a signed long, a null doc_id as the largest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
                 hashes = np.fromiter((digest(joined[x:y], seed) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(majority(hashes, first).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _bits(fp, lo: int, n: int):
@@ -130,8 +131,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows and ties
-    keep a row each; rows of one doc_id count by all their fingerprints. Other columns are ignored. An empty
-    table gives an empty result.
+    keep a row each; rows of one doc_id count by all their fingerprints. A null doc_id is one id, the largest.
+    Other columns are ignored. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "simhash")
@@ -142,4 +143,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     labels = connected(ends.select("u", "v"), ws)
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(classes, "fp").select(loose(), hexed.alias("fingerprint"), loose("component_id"))
