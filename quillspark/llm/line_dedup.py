@@ -19,6 +19,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 5
 #: A band key with so many lines in a sample of 1 in SAMPLE is hot, and its lines are dealt over SALTS groups.
 SAMPLE, HOT, SALTS, MOST_HOT = 64, 64, 64, 10_000
+#: Bits of the filter for the lines whose text is compared.
+FILTER_BITS = 25
 _U = np.uint64
 
 
@@ -32,10 +34,9 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     n_breaks = np.concatenate([[0], np.cumsum(breaks)])
     number = n_breaks[starts] - n_breaks[at[:-1]][doc]
-    total = n_breaks[at[1:]] - n_breaks[at[:-1]] + 1
     inked = np.concatenate([[0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))])
     full = inked[ends] > inked[starts]
-    return points, starts[full], ends[full], doc[full], number[full].astype(np.int32), total
+    return points, starts[full], ends[full], doc[full], number[full].astype(np.int32)
 
 
 def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +55,15 @@ def _hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return kernels.mixed(out), first
 
 
+def _names(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each line's text: of its characters, and of its shingles in order."""
+    k1 = kernels.run_hashes(points, starts, ends)
+    place = np.arange(len(hashes), dtype=_U) - np.repeat(first[:-1], np.diff(first)).astype(_U)
+    return k1, kernels.mixed(np.add.reduceat(kernels.mixed(hashes + place), first[:-1]) ^ k1)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, k1, k2, n_lines, bands) of every line with a word; k1 and k2 together name its exact text.
+    """(doc_id, line, k1, k2, bands) of every line with a word; k1 and k2 together name its exact text.
 
     Of several equal lines in a slice only the first has bands. Each minimum is over the shingles' hashes times
     an odd number plus another, modulo 2^32, both drawn anew for each.
@@ -68,15 +76,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in kernels.text_chunks(batch.column("text"), 1 << 18):
-                points, starts, ends, doc, number, total = _lines(data, offsets)
+                points, starts, ends, doc, number = _lines(data, offsets)
                 if not len(starts):
                     continue
                 hashes, first = _hashes(points, starts, ends)
-                wide = points.astype(_U) + _U(1)
-                sums = np.concatenate([np.zeros(1, _U), np.cumsum(wide * kernels._power("plain", len(points)))])
-                whole = (sums[ends] - sums[starts]) * kernels._power("inverse", len(points) + 1)[starts]
-                k1 = kernels.mixed(whole + (ends - starts).astype(_U))
-                k2 = kernels.mixed(np.add.reduceat(kernels.mixed(hashes + np.arange(len(hashes), dtype=_U) - np.repeat(first[:-1], np.diff(first)).astype(_U)), first[:-1]) ^ whole)
+                k1, k2 = _names(points, starts, ends, hashes, first)
                 low = (hashes >> _U(32)).astype(np.uint32)
                 values = np.empty_like(low)
                 bands = np.empty((len(starts), BANDS), _U)
@@ -90,9 +94,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 fresh = np.zeros(len(starts), bool)
                 fresh[np.unique(k1, return_index=True)[1]] = True
                 cuts = np.concatenate([[0], np.cumsum(np.where(fresh, BANDS, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total[doc].astype(np.int32)), pa.ListArray.from_arrays(cuts, pa.array(bands[fresh].ravel().view(np.int64)))], ["doc_id", "line", "k1", "k2", "n_lines", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(bands[fresh].ravel().view(np.int64)))], ["doc_id", "line", "k1", "k2", "bands"])
 
-    return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, k1 long, k2 long, n_lines int, bands array<long>")
+    return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, k1 long, k2 long, bands array<long>")
 
 
 def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -111,6 +115,43 @@ def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     return shared.select("key", "node", "center"), centers.join(least, "key").filter("u <> center").select("u", F.col("center").alias("v"))
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, body) of the lines that ``nodes`` names.
+
+    A bitmap of ``2 ** FILTER_BITS`` bits, whatever the number of nodes, keeps most other lines from the
+    shuffle; the join on the names settles the rest.
+    """
+    bit = F.pmod(F.col("node.k1"), F.lit(1 << FILTER_BITS))
+    rows = nodes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+    known = np.zeros(1 << FILTER_BITS, bool)
+    for r in rows:  # bucket b has the bits from 32768 * (b - 1) + 1 on, and bucket 0 bit 0
+        bits = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
+        known[np.flatnonzero(bits) + (32768 * (r.b - 1) + 1 if r.b else 0)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            for _, _, data, offsets in kernels.text_chunks(batch.column("text"), 1 << 18):
+                points, starts, ends, _, _ = _lines(data, offsets)
+                if not len(starts):
+                    continue
+                k1 = kernels.run_hashes(points, starts, ends)
+                keep = np.unique(k1, return_index=True)[1]
+                keep = keep[known[(k1[keep] & _U((1 << FILTER_BITS) - 1)).astype(np.int64)]]
+                starts, ends = starts[keep], ends[keep]
+                if not len(starts):
+                    continue
+                hashes, first = _hashes(points, starts, ends)
+                k1, k2 = _names(points, starts, ends, hashes, first)
+                raw = points.tobytes()
+                body = [raw[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(starts.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(body, pa.string())], ["k1", "k2", "body"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, body string")
+    return found.select(F.struct("k1", "k2").alias("node"), "body").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose lines' shingle sets have at least this Jaccard similarity."""
 
@@ -135,14 +176,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def line_classes(docs: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """All lines with a word (doc_id, line, node, n_lines), and (node, label) of those with a near copy of other text."""
-    lines = ws.table(signatures(docs))
-    shared, pairs = candidates(lines, ws)
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("at")).select(F.struct("k1", "k2").alias("node"), "at")
-    wanted = first.join(shared.select("node").distinct(), "node").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "node")).alias("want"))
-    body = docs.select(solid(), F.col("text").cast("string").alias("text")).dropna(subset=["text"]).join(wanted, "doc_id")
-    split = body.select(F.split("text", "\n").alias("parts"), "want").select(F.explode(F.transform("want", lambda w: F.struct(w.node.alias("node"), F.get("parts", w.line).alias("body")))).alias("x")).select("x.*")
-    texts = ws.table(split.filter("body IS NOT NULL").dropDuplicates(["node"]))
+    """All lines with a word (doc_id, line, node), and (node, label) of those with a near copy of other text."""
+    wide = ws.table(signatures(docs))
+    shared, pairs = candidates(wide, ws)
+    lines = ws.table(wide.drop("bands"))
+    ws.drop(wide)
+    texts = ws.table(texts_of(docs, shared.select("node").distinct()))
     star = shared.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).unionByName(pairs).distinct()
     links = ws.table(_verified(star, texts, similarity))
     classes = ws.table(connected(links, ws))
@@ -155,7 +194,7 @@ def line_classes(docs: DataFrame, ws: Workspace, similarity: float = SIMILARITY)
     more = ws.table(_verified(rest, texts, similarity))
     if not more.isEmpty():
         classes = ws.table(connected(links.unionByName(more), ws))
-    return lines.select("doc_id", "line", F.struct("k1", "k2").alias("node"), "n_lines"), classes
+    return lines.select("doc_id", "line", F.struct("k1", "k2").alias("node")), classes
 
 
 def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

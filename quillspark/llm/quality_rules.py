@@ -185,4 +185,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents, all columns, that the base and the rules keep."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return decided(statistics(packed, "row"), rules).filter("kept").select("row.*")
+    # A filter isn't moved below a column that isn't deterministic. Below the statistics it would repeat
+    # their nested expressions, which double at each step.
+    stats = statistics(packed, "row").withColumn("place", F.monotonically_increasing_id())
+    return decided(stats, rules).filter("kept AND place >= 0").select("row.*")

@@ -112,3 +112,40 @@ def gr20_diffusion(emb):
     gates = h.select("chunk").distinct().withColumn("gate", 0.5 / (1 + F.col("chunk")))
     start = emb.filter("vec_id < 5").select(F.col("vec_id").alias("entity"), F.lit(1.0).alias("a"))
     return G.diffuse(h, start, gates).withColumn("w", F.round("w", 6))
+
+
+@query("nation", sql=f"""WITH RECURSIVE {RING_SQL}, r AS (SELECT 0 AS node, [0] AS path UNION ALL SELECT e.dst, list_append(r.path, e.dst) FROM r JOIN e ON e.src = r.node WHERE len(r.path) < 6 AND NOT list_contains(r.path, e.dst))
+SELECT node::INTEGER AS node, min(len(path) - 1)::BIGINT AS hops FROM r GROUP BY node""")
+def gr7_fewest_hops(nation):
+    """Hops of the shortest relation path to each place within five."""
+    k = F.col("n_nationkey")
+    ring = nation.select(k.alias("src"), ((k + 1) % 25).alias("dst"), F.lit(1.0).alias("weight"))
+    chords = nation.filter("n_nationkey % 3 <> 0").select(k.alias("src"), ((k + 7) % 25).alias("dst"), F.lit(1.0).alias("weight"))
+    return G.shortest_paths(ring.unionByName(chords), nation.sparkSession.createDataFrame([(0,)], "node int"), 5).select("node", F.col("cost").cast("long").alias("hops"))
+
+
+@query("orders", sql="SELECT o_custkey, round(sum(leg), 2) AS length, round(sum(leg) / 80, 4) AS eta FROM (SELECT o_custkey, abs(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS leg FROM orders) WHERE leg IS NOT NULL GROUP BY o_custkey")
+def gr10_path_cost(orders):
+    """Length of each customer's path through its orders' prices, and the time at 80 a minute."""
+    from pyspark.sql import Window
+
+    before = F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    legs = orders.withColumn("leg", F.abs(F.col("o_totalprice") - before)).filter("leg IS NOT NULL")
+    return legs.groupBy("o_custkey").agg(F.round(F.sum("leg"), 2).alias("length"), F.round(F.sum("leg") / 80, 4).alias("eta"))
+
+
+@query("nation", sql="SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst, CASE WHEN n_nationkey IN (3, 4) THEN 'closed' ELSE 'open' END AS status FROM nation")
+def gr11_edge_update(nation):
+    """A status change of a few edges, the last word on each."""
+    edges = nation.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") + 1) % 25).alias("dst"), F.lit("open").alias("status"))
+    changes = nation.sparkSession.createDataFrame([(3, 4, "closed"), (4, 5, "closed")], "src int, dst int, new string")
+    return edges.join(F.broadcast(changes), ["src", "dst"], "left").select("src", "dst", F.coalesce("new", "status").alias("status"))
+
+
+@query("embeddings", sql=f"WITH {HYPER}{_diffusion_sql(2)}, t AS (SELECT entity, sum(a) AS w FROM s GROUP BY entity) SELECT chunk, round(1.0 + 0.3 * sum(ln(1 + t.w)), 6) AS score FROM h JOIN t USING (entity) GROUP BY chunk")
+def gr21_topic_score(emb):
+    """Chunks scored anew by the activation of their entities."""
+    h = emb.select(F.col("vec_id").alias("entity"), (F.col("vec_id") % 50).alias("chunk"), (1.0 + F.col("label") / 10.0).alias("w"))
+    gates = h.select("chunk").distinct().withColumn("gate", 0.5 / (1 + F.col("chunk")))
+    active = G.diffuse(h, emb.filter("vec_id < 5").select(F.col("vec_id").alias("entity"), F.lit(1.0).alias("a")), gates, 2).withColumnRenamed("w", "act")
+    return h.join(active, "entity").groupBy("chunk").agg(F.round(1.0 + 0.3 * F.sum(F.log1p("act")), 6).alias("score"))

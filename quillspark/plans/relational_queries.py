@@ -241,3 +241,59 @@ def s20_proximity(lineitem):
     q = F.col("l_quantity")
     pts = F.when(q <= 10, 30.0).when(q <= 25, F.round(30 - 20 * (q - 10) / 15, 6)).when(q <= 40, F.round(10 - 10 * (q - 25) / 15, 6)).otherwise(-5.0)
     return lineitem.select("l_orderkey", "l_linenumber", "l_partkey", pts.alias("pts"))
+
+
+@query("events", sql="SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND (p.ts, p.event_id) < (e.ts, e.event_id)) AS last_purchase FROM events e WHERE e.event_type = 'click'")
+def n12_as_of(events):
+    """The user's last purchase before each click: one window over the union, no range join."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(w)
+    return events.withColumn("last_purchase", last).filter("event_type = 'click'").select("event_id", "last_purchase")
+
+
+@query("lineitem", sql="SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN d <= 60 THEN round(18 * (1 - d / 60), 6) WHEN d <= 120 THEN round(5 * (1 - (d - 60) / 60), 6) ELSE -5.0 END::DOUBLE AS pts FROM (SELECT *, greatest(0, l_quantity * 3 - 10) AS d FROM lineitem)")
+def s19_detour(lineitem):
+    d = F.col("l_quantity") * 3
+    return lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(S.detour(d, F.lit(0.0), F.lit(10.0)), 6).alias("pts"))
+
+
+@query("supplier", sql="SELECT s_suppkey, (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[(floor(((s_suppkey * 7.3) % 360 + 22.5) / 45) % 8 + 1)::INTEGER] AS dir FROM supplier")
+def s18_compass(supplier):
+    return supplier.select("s_suppkey", S.compass((F.col("s_suppkey") * 7.3) % 360).alias("dir"))
+
+
+@query("part", sql="SELECT p_partkey, p_size * 1.0 - CASE WHEN p_type = 'ECONOMY' THEN 5 ELSE 0 END + CASE WHEN contains(p_name, 'red') THEN 3 ELSE 0 END AS score FROM part")
+def s37_rule_score(part):
+    """Size, less a malus by type, plus a bonus by name."""
+    return part.select("p_partkey", (F.col("p_size") * F.lit(1.0) - F.when(F.col("p_type") == "ECONOMY", 5).otherwise(0) + F.when(F.contains("p_name", F.lit("red")), 3).otherwise(0)).cast("double").alias("score"))
+
+
+@query("events", sql="WITH b(event_type, pts) AS (VALUES ('purchase', 5.0::DOUBLE), ('click', 2.0::DOUBLE)) SELECT user_id, sum(coalesce(pts, 0)) AS pts FROM events LEFT JOIN b USING (event_type) GROUP BY user_id")
+def s39_boost_table(events):
+    """Points by category from a rule table, none for a category that it lacks."""
+    rules = events.sparkSession.createDataFrame([("purchase", 5.0), ("click", 2.0)], "event_type string, pts double")
+    return events.join(F.broadcast(rules), "event_type", "left").groupBy("user_id").agg(F.sum(F.coalesce("pts", F.lit(0.0))).alias("pts"))
+
+
+@query("part", sql="SELECT p_partkey, concat_ws('; ', CASE WHEN p_size > 25 THEN 'large' END, CASE WHEN p_retailprice > 1000 THEN 'dear' END, p_brand) AS reason FROM part")
+def s41_reason(part):
+    return part.select("p_partkey", F.concat_ws("; ", F.when(F.col("p_size") > 25, "large"), F.when(F.col("p_retailprice") > 1000, "dear"), "p_brand").alias("reason"))
+
+
+@query("events", sql="SELECT event_id, TRY_CAST(json_extract('{\"k\": ' || (event_id % 7) || '}', '$.k') AS BIGINT) AS k FROM events")
+def s29_json_repair(events):
+    """JSON between code fences and other text: the outermost braces."""
+    raw = F.concat(F.lit('noise ```{"k": '), (F.col("event_id") % 7).cast("string"), F.lit("}``` noise"))
+    return events.select("event_id", F.from_json(F.regexp_extract(raw, r"(\{.*\})", 1), "k long")["k"].alias("k"))
+
+
+@query("events", sql="SELECT event_type, map_keys(m) AS ks FROM (SELECT event_type, map_from_entries(list_sort(list(DISTINCT struct_pack(k := user_id % 5, v := 1)))) AS m FROM events GROUP BY event_type)")
+def g8_map_ops(events):
+    entries = F.array_sort(F.collect_set(F.struct((F.col("user_id") % 5).alias("k"), F.lit(1).alias("v"))))
+    return events.groupBy("event_type").agg(F.map_keys(F.map_from_entries(entries)).alias("ks"))
+
+
+@query("embeddings", sql="SELECT label, i::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
+def g10_centroids(emb):
+    rows = emb.select("label", F.posexplode("embedding").alias("p", "x"))
+    return rows.groupBy("label", (F.col("p") + 1).alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))

@@ -107,3 +107,15 @@ def st5_running_total(events):
     weekly = events.groupBy("event_type", F.weekofyear("ts").alias("week")).agg(F.sum("value").alias("t"))
     w = Window.partitionBy("event_type").orderBy("week")
     return weekly.select("event_type", "week", F.round("t", 4).alias("total"), F.round(F.sum("t").over(w), 4).alias("running"))
+
+
+@query("events", sql="SELECT event_id, 'arrived' AS status FROM events WHERE event_type = 'purchase' AND value < 5")
+def st7_arrivals(events):
+    return events.filter("event_type = 'purchase' AND value < 5").select("event_id", F.lit("arrived").alias("status"))
+
+
+@query("events", sql="SELECT user_id, event_type FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR GROUP BY ALL EXCEPT SELECT user_id, event_type FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 48 HOUR GROUP BY ALL")
+def st2_expired(events):
+    """Keys not seen in the last 48 hours."""
+    last = events.agg(F.max("ts").alias("m"))
+    return events.groupBy("user_id", "event_type").agg(F.max("ts").alias("t")).crossJoin(F.broadcast(last)).filter(F.col("t") <= F.col("m") - F.expr("INTERVAL 48 HOURS")).select("user_id", "event_type")

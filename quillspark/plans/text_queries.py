@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.chunking import chunk_documents, compress_texts
-from quillspark.operators.evaluation import pseudonym, rouge_l, sequence_similarity
+from quillspark.operators.evaluation import composite, pseudonym, rouge_l, sequence_similarity
 
 from .register import query
 from .retrieval_queries import token_sql
@@ -247,3 +247,107 @@ def v20_compress(docs, bench):
     """Each item's document cut to the sentences nearest to the item."""
     rows = bench.select("item_id", T.tokens(F.col("text")).alias("words")).join(docs.select(F.col("doc_id").alias("item_id"), "text"), "item_id")
     return compress_texts(rows, "item_id").select("item_id", F.length("body").alias("n"))
+
+
+@query("documents", sql=r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '-\n', '', 'g'), '\n+', ' ', 'g'))) AS repaired FROM documents")
+def s9_text_repair(docs):
+    """Hyphenated line ends joined, line breaks as blanks."""
+    return docs.select("doc_id", F.md5(F.trim(F.regexp_replace(F.regexp_replace("text", "-\n", ""), "\n+", " "))).alias("repaired"))
+
+
+@query("part", sql=r"SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || ' (' || p_brand || ')', '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS name FROM part")
+def s10_entity_name(part):
+    raw = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    return part.select("p_partkey", F.trim(F.regexp_replace(F.regexp_replace(raw, "[^A-Za-z0-9 ]", " "), " +", " ")).alias("name"))
+
+
+@query("documents", sql=r"SELECT doc_id, len([x for x in string_split(text, chr(10)) if regexp_matches(x, '[0-9]+ ?[-+*/=] ?[0-9]+')][1:15])::BIGINT AS n FROM documents")
+def s12_formula_lines(docs):
+    """The first fifteen lines that look like sums."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[0-9]+ ?[-+*/=] ?[0-9]+"))
+    return docs.select("doc_id", F.size(F.slice(lines, 1, 15)).cast("long").alias("n"))
+
+
+@query("documents", sql="""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, range(1, 60) t(i) WHERE i <= len(string_split(text, chr(10)))),
+h AS (SELECT doc_id, i, last_value(CASE WHEN length(line) BETWEEN 1 AND 40 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS heading FROM l)
+SELECT doc_id, i::INTEGER AS i, md5(heading) AS heading FROM h WHERE heading IS NOT NULL""")
+def s13_heading_carry(docs):
+    """The last short line before each of a document's first lines."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter("p < 59").withColumn("i", F.col("p") + 1)
+    w = Window.partitionBy("doc_id").orderBy("i")
+    heading = F.last(F.when(F.length("line").between(1, 40), F.col("line")), ignorenulls=True).over(w)
+    return lines.withColumn("h", heading).filter("h IS NOT NULL").select("doc_id", "i", F.md5("h").alias("heading"))
+
+
+@query("benchmark", "documents", sql="SELECT item_id, regexp_matches(lower(d.text), '(^|[^0-9])' || (item_id % 10)::VARCHAR || '([^0-9]|$)') AS cited FROM benchmark JOIN documents d ON d.doc_id = item_id")
+def s16_citation(bench, docs):
+    """Whether a text cites its item's number: the pattern is made from the row."""
+    rows = bench.select("item_id").join(docs.select(F.col("doc_id").alias("item_id"), F.lower("text").alias("t")), "item_id")
+    return rows.select("item_id", F.regexp_like("t", F.concat(F.lit("(^|[^0-9])"), (F.col("item_id") % 10).cast("string"), F.lit("([^0-9]|$)"))).alias("cited"))
+
+
+@query("conversations", sql="SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the ') THEN 'english' WHEN contains(lower(text), 'que ') THEN 'romance' WHEN contains(lower(text), 'der ') THEN 'german' ELSE 'other' END AS intent FROM conversations")
+def s36_rule_intent(chats):
+    intent = F.lit("other")
+    for word, name in reversed((("the ", "english"), ("que ", "romance"), ("der ", "german"))):
+        intent = F.when(F.contains(F.lower("text"), F.lit(word)), name).otherwise(intent)
+    return chats.select("conv_id", "turn", intent.alias("intent"))
+
+
+@query("conversations", sql="SELECT conv_id, turn, (contains(lower(text), 'scum') OR contains(lower(text), 'stupid') OR contains(lower(text), 'the')) AS found FROM conversations WHERE role = 'assistant'")
+def f10_phrase_detection(chats):
+    phrases = F.array(*map(F.lit, ("scum", "stupid", "the")))
+    return chats.filter("role = 'assistant'").select("conv_id", "turn", F.exists(phrases, lambda p: F.contains(F.lower("text"), p)).alias("found"))
+
+
+@query("documents", sql=r"SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z])und([^a-z]|$)') AS has_word FROM documents")
+def f6_whole_word(docs):
+    return docs.select("doc_id", F.lower("text").rlike("(^|[^a-z])und([^a-z]|$)").alias("has_word"))
+
+
+@query("conversations", sql="SELECT conv_id, turn, (len(string_split(text, ' ')) >= 25 AND regexp_matches(lower(text), 'the|que')) OR len(string_split(text, ' ')) > 60 AS expand FROM conversations")
+def f12_expansion_gate(chats):
+    n = F.size(F.split("text", " "))
+    return chats.select("conv_id", "turn", (((n >= 25) & F.lower("text").rlike("the|que")) | (n > 60)).alias("expand"))
+
+
+@query("conversations", sql="SELECT conv_id, turn, list_sort([x for x in ['and', 'der', 'que', 'the'] if contains(lower(text), x)]) AS found FROM conversations")
+def v22_keyword_entities(chats):
+    """Domain keywords that a text holds."""
+    return chats.select("conv_id", "turn", F.array_sort(F.filter(F.array(*map(F.lit, ("and", "der", "que", "the"))), lambda x: F.contains(F.lower("text"), x))).alias("found"))
+
+
+@query("benchmark", sql=f"""WITH t AS (SELECT item_id, unnest({token_sql('text')}) AS w FROM benchmark), s(w, syn) AS (VALUES ('the', 'le'), ('and', 'und'), ('of', 'von'))
+SELECT item_id, string_agg(DISTINCT syn, ' ' ORDER BY syn) AS added FROM t JOIN s USING (w) GROUP BY item_id""")
+def v24_synonyms(bench):
+    """Synonyms of a question's words, from a small rule table."""
+    rules = bench.sparkSession.createDataFrame([("the", "le"), ("and", "und"), ("of", "von")], "w string, syn string")
+    words = bench.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("w"))
+    return words.join(F.broadcast(rules), "w").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("syn")), " ").alias("added"))
+
+
+@query("benchmark", sql="SELECT item_id, len(text) AS n FROM benchmark WHERE item_id > 20 ORDER BY item_id")
+def r4_incremental_scan(bench):
+    """Rows after the last id that was read."""
+    return bench.filter("item_id > 20").select("item_id", F.length("text").cast("long").alias("n"))
+
+
+@query("labels", sql="SELECT doc_id, 'quality' AS name, quality AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels")
+def j2_wide_to_long(labels):
+    return labels.unpivot(["doc_id"], ["quality", "toxic"], "name", "value")
+
+
+@query("documents", sql=r"SELECT doc_id, len([x for x in string_split(text, ' ') if x = 'the'])::BIGINT AS n_the, len([x for x in string_split(text, ' ') if x = 'que'])::BIGINT AS n_que FROM documents")
+def j7_bag_of_words(docs):
+    """Counts over a fixed vocabulary."""
+    count = lambda w: F.size(F.filter(F.split("text", " "), lambda x: x == w)).cast("long")
+    return docs.select("doc_id", count("the").alias("n_the"), count("que").alias("n_que"))
+
+
+@query("labels", "documents", sql="""WITH r AS (SELECT doc_id, least(n_chars / 5000.0, 1)::DOUBLE AS rouge, quality::DOUBLE AS kw, 8.0::DOUBLE AS judge FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT *, CASE WHEN rouge < 0.05 AND kw = 0 AND judge > 4 THEN 4.0 ELSE judge END AS j1 FROM r), d AS (SELECT *, CASE WHEN rouge < 0.15 AND kw < 0.2 AND j1 > 5 THEN 5.0 ELSE j1 END AS j2 FROM c)
+SELECT doc_id, round(0.5 * j2 + 2 * rouge + 2 * kw + rouge, 4) AS composite FROM d""")
+def s35_composite(labels, docs):
+    rows = labels.join(docs.select("doc_id", "n_chars"), "doc_id")
+    rouge, kw = F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), F.col("quality").cast("double")
+    return rows.select("doc_id", composite(F.lit(8.0), rouge, kw, rouge, F.lit(False), rouge).alias("composite"))
