@@ -17,6 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Spark's setting for deleting a query's shuffle files at its end, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """A folder of intermediate tables. A lost executor costs no more than the stage that it was running."""
 
@@ -24,10 +28,15 @@ class Workspace:
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame) -> DataFrame:
-        """Write df as Parquet and read it again."""
+        """Write df as Parquet and read it again. The shuffle files of the write go at its end."""
         self.n += 1
         at = f"{self.path}/{self.n}"
-        df.write.parquet(at)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._quill_path = at
         return out
