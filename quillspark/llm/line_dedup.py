@@ -65,7 +65,7 @@ def _names(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, line, k1, k2, bands) of every line with a word; k1 and k2 together name its exact text.
 
-    Of several equal lines in a slice only the first has bands. Each minimum is over the shingles' hashes times
+    Of several equal lines in a task only the first has bands. Each minimum is over the shingles' hashes times
     an odd number plus another, modulo 2^32, both drawn anew for each.
     """
     rng = np.random.default_rng(29)
@@ -73,6 +73,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     shifts = rng.integers(0, 1 << 32, (BANDS, ROWS), np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # as many as a task's input has distinct lines
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in kernels.text_chunks(batch.column("text"), 1 << 18):
@@ -81,47 +82,54 @@ def signatures(docs: DataFrame) -> DataFrame:
                     continue
                 hashes, first = _hashes(points, starts, ends)
                 k1, k2 = _names(points, starts, ends, hashes, first)
-                low = (hashes >> _U(32)).astype(np.uint32)
+                at = np.unique(k1, return_index=True)[1]
+                new = at[[x not in seen for x in k1[at].tolist()]]
+                seen.update(k1[new].tolist())
+                fresh = np.zeros(len(starts), bool)
+                fresh[new] = True
+                low = (hashes[np.repeat(fresh, np.diff(first))] >> _U(32)).astype(np.uint32)
+                heads = np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])[:-1]
                 values = np.empty_like(low)
-                bands = np.empty((len(starts), BANDS), _U)
-                for band in range(BANDS):
-                    key = np.full(len(starts), band + 1, _U)
+                bands = np.empty((len(heads), BANDS), _U)
+                for band in range(BANDS if len(heads) else 0):
+                    key = np.full(len(heads), band + 1, _U)
                     for r in range(ROWS):
                         np.multiply(low, factors[band, r], out=values)
                         values += shifts[band, r]
-                        key = kernels.mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, first[:-1]))
+                        key = kernels.mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, heads))
                     bands[:, band] = key
-                fresh = np.zeros(len(starts), bool)
-                fresh[np.unique(k1, return_index=True)[1]] = True
                 cuts = np.concatenate([[0], np.cumsum(np.where(fresh, BANDS, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(bands[fresh].ravel().view(np.int64)))], ["doc_id", "line", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(bands.ravel().view(np.int64)))], ["doc_id", "line", "k1", "k2", "bands"])
 
     return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, k1 long, k2 long, bands array<long>")
 
 
 def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(key, node, center) for lines that share a band key with another line, and pairs (u, v) of hot keys' centers."""
-    node = F.struct("k1", "k2").alias("node")
-    rows = lines.select(node, F.explode("bands").alias("key"))
+    """(key, node, center) for lines that share a band key with another line, and pairs (u, v) of hot keys' centers.
+
+    A line is named by k1 here: half its name is enough to find what may be alike, and the check of the
+    texts tells apart what has the same half.
+    """
+    rows = lines.select(F.explode("bands").alias("key"), F.col("k1").alias("node"))
     part = lines.filter(F.pmod("k2", F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("key"))
     hot = ws.table(part.groupBy("key").count().filter(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot")))
-    salt = F.when(F.col("hot"), F.pmod(F.col("node.k2"), F.lit(SALTS))).otherwise(F.lit(0))
+    salt = F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     group = Window.partitionBy("key", "salt")
-    salted = rows.join(F.broadcast(hot), "key", "left").select("key", "node", F.coalesce("hot", F.lit(False)).alias("hot"), salt.alias("salt"))
+    salted = rows.join(F.broadcast(hot), "key", "left").select("key", "node", salt.alias("salt"), F.coalesce("hot", F.lit(False)).alias("hot"))
     grouped = salted.withColumn("center", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
-    shared = ws.table(grouped.filter((F.col("center") != F.col("last")) | F.col("hot")).select("key", "node", "center", "hot").distinct())
+    shared = ws.table(grouped.filter((F.col("center") != F.col("last")) | F.col("hot")).select("key", "salt", "node", "center", "hot").distinct())
     centers = shared.filter("hot").select("key", "center").distinct()
     least = centers.groupBy("key").agg(F.min("center").alias("u"))
     return shared.select("key", "node", "center"), centers.join(least, "key").filter("u <> center").select("u", F.col("center").alias("v"))
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, body) of the lines that ``nodes`` names.
+    """(k1, k2, body) of the lines that ``nodes`` (node: k1) names.
 
     A bitmap of ``2 ** FILTER_BITS`` bits, whatever the number of nodes, keeps most other lines from the
     shuffle; the join on the names settles the rest.
     """
-    bit = F.pmod(F.col("node.k1"), F.lit(1 << FILTER_BITS))
+    bit = F.pmod("node", F.lit(1 << FILTER_BITS))
     rows = nodes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
     known = np.zeros(1 << FILTER_BITS, bool)
     for r in rows:  # bucket b has the bits from 32768 * (b - 1) + 1 on, and bucket 0 bit 0
@@ -149,11 +157,11 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(body, pa.string())], ["k1", "k2", "body"])
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "k1 long, k2 long, body string")
-    return found.select(F.struct("k1", "k2").alias("node"), "body").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return found.join(nodes.withColumnRenamed("node", "k1"), "k1", "left_semi").dropDuplicates(["k1", "k2"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose lines' shingle sets have at least this Jaccard similarity."""
+    """The pairs (u, v), by whole names, whose lines' shingle sets have at least this Jaccard similarity; ``pairs`` has halves."""
 
     def shingles(t: str) -> frozenset:
         return frozenset(t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1)))
@@ -170,9 +178,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             picked = batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
             yield picked
 
-    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("body").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("body").alias("a")), "u")
+    named = texts.select("k1", F.struct("k1", "k2").alias("node"), "body")
+    both = pairs.withColumnRenamed("v", "k1").join(named, "k1").select("u", F.col("node").alias("v"), F.col("body").alias("b"))
+    both = both.withColumnRenamed("u", "k1").join(named, "k1").select(F.col("node").alias("u"), "v", F.col("body").alias("a"), "b")
     node = "struct<k1:bigint,k2:bigint>"
-    return both.select("u", "v", "a", "b").mapInArrow(run, f"u {node}, v {node}")
+    return both.mapInArrow(run, f"u {node}, v {node}")
 
 
 def line_classes(docs: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +196,8 @@ def line_classes(docs: DataFrame, ws: Workspace, similarity: float = SIMILARITY)
     links = ws.table(_verified(star, texts, similarity))
     classes = ws.table(connected(links, ws))
     # What shares a key with a line of another class may be like one that isn't its group's center.
-    member = shared.join(classes, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    labels = classes.select(F.col("node.k1").alias("node"), "label")
+    member = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", F.struct(F.col("node").alias("k1"), F.lit(0).cast("long").alias("k2"))).alias("label"))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     member = ws.table(member.join(mixed, "key"))
     a, b = member.toDF("key", "u", "lu"), member.toDF("key", "v", "lv")
