@@ -20,8 +20,7 @@ def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group."""
-    first = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return simhash.first_rows(docs)
 
 
 def _decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import connected
-from .ids import loose, solid
+from .ids import keyed, loose
 from .workspace import Workspace
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -62,8 +62,8 @@ def _names(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
     return k1, kernels.mixed(np.add.reduceat(kernels.mixed(hashes + place), first[:-1]) ^ k1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, k1, k2, bands) of every line with a word; k1 and k2 together name its exact text.
+def signatures(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, line, k1, k2, bands) of every line with a word of keyed rows; k1 and k2 together name its exact text.
 
     Of several equal lines in a task only the first has bands. Each minimum is over the shingles' hashes times
     an odd number plus another, modulo 2^32, both drawn anew for each.
@@ -99,9 +99,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                         key = kernels.mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, heads))
                     bands[:, band] = key
                 cuts = np.concatenate([[0], np.cumsum(np.where(fresh, BANDS, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(bands.ravel().view(np.int64)))], ["doc_id", "line", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), batch.column("key").take(pa.array(lo + doc)), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(bands.ravel().view(np.int64)))], ["doc_id", "key", "line", "k1", "k2", "bands"])
 
-    return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, line int, k1 long, k2 long, bands array<long>")
+    return rows.select("doc_id", "key", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key string, line int, k1 long, k2 long, bands array<long>")
 
 
 def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -185,13 +185,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, f"u {node}, v {node}")
 
 
-def line_classes(docs: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """All lines with a word (doc_id, line, node), and (node, label) of those with a near copy of other text."""
-    wide = ws.table(signatures(docs))
+def line_classes(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """All lines with a word (doc_id, key, line, node) of keyed rows, and (node, label) of those with a near copy of other text."""
+    wide = ws.table(signatures(rows))
     shared, pairs = candidates(wide, ws)
     lines = ws.table(wide.drop("bands"))
     ws.drop(wide)
-    texts = ws.table(texts_of(docs, shared.select("node").distinct()))
+    texts = ws.table(texts_of(rows.select("row.text"), shared.select("node").distinct()))
     star = shared.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).unionByName(pairs).distinct()
     links = ws.table(_verified(star, texts, similarity))
     classes = ws.table(connected(links, ws))
@@ -205,38 +205,41 @@ def line_classes(docs: DataFrame, ws: Workspace, similarity: float = SIMILARITY)
     more = ws.table(_verified(rest, texts, similarity))
     if not more.isEmpty():
         classes = ws.table(connected(links.unionByName(more), ws))
-    return lines.select("doc_id", "line", F.struct("k1", "k2").alias("node")), classes
+    return lines.select("doc_id", "key", "line", F.struct("k1", "k2").alias("node")), classes
 
 
-def dropped_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, dropped): the numbers of the lines (from 0) that a document loses, if any.
+def dropped_lines(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, key, dropped): the numbers of the lines (from 0) that a row of ``rows`` (doc_id, key, row) loses, if any.
 
-    Of the lines of a class, which are equal or linked by near copies, the first by doc_id and number stays.
-    Blank lines are never dropped and belong to no class. A null text has no lines. Rows that repeat a
-    doc_id count as one document, and a null doc_id is one id, the largest. Other columns are ignored.
+    Of the lines of a class, which are equal or linked by near copies, the first by doc_id, key and number
+    stays. Blank lines are never dropped and belong to no class. A null text has no lines. Each row is a
+    document of its own, also where rows repeat a doc_id; a null doc_id is the largest. Other columns are
+    ignored.
     """
-    ws = Workspace(docs.sparkSession, "lines")
-    lines, classes = line_classes(docs, ws, similarity)
-    named = lines.join(classes, "node", "left").select("doc_id", "line", F.coalesce("label", "node").alias("class"))
-    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")).filter("n > 1")
-    out = named.join(first, "class").filter((F.col("at.doc_id") != F.col("doc_id")) | (F.col("at.line") != F.col("line")))
-    return ws.table(out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped")))
+    lines, classes = line_classes(rows, ws, similarity)
+    named = lines.join(classes, "node", "left").select("doc_id", "key", "line", F.coalesce("label", "node").alias("class"))
+    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"), F.count("*").alias("n")).filter("n > 1")
+    out = named.join(first, "class").filter(F.struct("doc_id", "key", "line") != F.col("at"))
+    return ws.table(out.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("dropped")))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without their dropped lines; the other columns stay, n_chars is counted anew."""
-    gone = dropped_lines(docs, similarity)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), solid())
+    ws = Workspace(docs.sparkSession, "lines")
+    packed = keyed(docs, ws)
+    gone = dropped_lines(packed, ws, similarity)
     parts = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("dropped", e.i))
     rest = F.array_join(F.transform(parts, lambda e: e.x), "\n")
     row = F.col("row").withField("text", rest)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(rest).cast(docs.schema["n_chars"].dataType))
-    out = packed.join(gone, "doc_id", "left").select(F.when(F.col("dropped").isNull(), F.col("row")).otherwise(row).alias("row"))
+    out = packed.join(gone, ["doc_id", "key"], "left").select(F.when(F.col("dropped").isNull(), F.col("row")).otherwise(row).alias("row"))
     return out.select("row.*")
 
 
 def digest(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_dropped and the dropped lines' numbers, for every document."""
-    gone = dropped_lines(docs, similarity)
-    return docs.select(solid()).join(gone, "doc_id", "left").select(loose(), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    ws = Workspace(docs.sparkSession, "lines")
+    rows = keyed(docs, ws)
+    gone = dropped_lines(rows, ws, similarity)
+    return rows.select("doc_id", "key").join(gone, ["doc_id", "key"], "left").select(loose(), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

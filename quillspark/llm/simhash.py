@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .components import connected
-from .ids import loose, solid
+from .ids import keyed, loose, solid
 from .workspace import Workspace
 
 #: 64 bits in four blocks of 16. Two differing bits touch two blocks at most, so two others agree.
@@ -54,19 +54,19 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, a null doc_id as the largest."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long, a null doc_id as the largest; with ``keys``, string columns, between."""
+    names = ["doc_id", *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for lo, hi, data, offsets in kernels.text_chunks(texts):
+            for lo, hi, data, offsets in kernels.text_chunks(batch.column("text")):
                 joined, a, b, first = shingle_spans(data, offsets, width)
                 hashes = np.fromiter((digest(joined[x:y], seed) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(a))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(majority(hashes, first).view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(majority(hashes, first).view(np.int64))], [*names, "fp"])
 
-    return docs.select(solid(), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(solid(), *keys, F.col("text").cast("string")).mapInArrow(run, ", ".join(["doc_id long", *(f"{c} string" for c in keys), "fp long"]))
 
 
 def _bits(fp, lo: int, n: int):
@@ -144,3 +144,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFram
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(classes, "fp").select(loose(), hexed.alias("fingerprint"), loose("component_id"))
+
+
+def first_rows(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """The row of smallest (doc_id, key) of each group of near copies, whatever ids its rows have.
+
+    Groups are of fingerprints, so rows of one doc_id, null too, are in one group only if their texts are
+    linked. A null doc_id is the largest.
+    """
+    ws = Workspace(docs.sparkSession, "first")
+    rows = keyed(docs, ws)
+    prints = fingerprints(rows.select("doc_id", "key", "row.text"), width, seed, ("key",))
+    reps = ws.table(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("at")))
+    links = ws.table(near_pairs(reps.select("fp"), ws))
+    labels = connected(links.toDF("u", "v"), ws)
+    groups = reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("label", "fp").alias("group"))
+    first = groups.agg(F.min("at").alias("at")).select("at.doc_id", "at.key")
+    return rows.join(first, ["doc_id", "key"], "left_semi").select("row.*")
