@@ -121,6 +121,60 @@ def v11_type_boost(emb):
     return hits.select("query_id", "vec_id", F.round(F.col("score") * boost, 8).alias("score"))
 
 
+#: Every vector whose id is divisible by 20 asks, all vectors answer; none finds itself.
+WHOLE_CTE = """
+dd AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ds AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.e, v.e), 6) AS score FROM dd q JOIN dd v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
+dm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds)"""
+
+
+def _dense_whole(emb, k=10):
+    asked = emb.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = R.dense(emb, asked, k + 1).drop("rank").filter("query_id <> vec_id")
+    return R.top_k(hits, "query_id", "vec_id", k)
+
+
+@query("embeddings", sql=f"WITH {WHOLE_CTE} SELECT query_id, vec_id, score, rank FROM dm WHERE rank <= 10")
+def v1_dense_topk_whole(emb):
+    return _dense_whole(emb)
+
+
+@query("embeddings", sql=f"WITH {WHOLE_CTE} SELECT query_id, CASE WHEN round(2 - 2 * score, 6) < 1.2 THEN label::VARCHAR ELSE 'UNKNOWN' END AS match, round(2 - 2 * score, 6) AS dist FROM dm WHERE rank = 1")
+def v2_nearest_threshold_whole(emb):
+    """The label of the nearest other vector if its squared distance is under 1.2."""
+    dist = F.round(2 - 2 * F.col("score"), 6)
+    return _dense_whole(emb, 1).join(emb.select("vec_id", "label"), "vec_id").select("query_id", F.when(dist < 1.2, F.col("label").cast("string")).otherwise("UNKNOWN").alias("match"), dist.alias("dist"))
+
+
+@query("embeddings", sql=f"""WITH {WHOLE_CTE} SELECT query_id, vec_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm_score
+FROM dm WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id)""")
+def w3_minmax_arm_whole(emb):
+    return R.min_max(_dense_whole(emb), "query_id").select("query_id", "vec_id", F.round("norm_score", 6).alias("norm_score"))
+
+
+@query("embeddings", sql=f"WITH {WHOLE_CTE} SELECT query_id, vec_id, score FROM dm WHERE rank <= 8 AND score >= 0.15")
+def v12_entity_link_whole(emb):
+    """The eight nearest other entities, those from a similarity on."""
+    return _dense_whole(emb, 8).filter("score >= 0.15").select("query_id", "vec_id", "score")
+
+
+@query("embeddings", sql=f"""WITH {WHOLE_CTE},
+c AS (SELECT label, i, avg(e[i]) AS m FROM dd, range(1, 65) t(i) GROUP BY ALL),
+s AS (SELECT vec_id AS query_id, c.label, round(sum(e[i] * m), 6) AS sim FROM dd, c WHERE vec_id % 20 = 0 GROUP BY ALL),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, label) = 1)
+SELECT query_id, vec_id, round(score * CASE WHEN b.sim >= 0.1 AND b.label = dm.label THEN 1.35 ELSE 1 END, 8) AS score FROM dm JOIN b USING (query_id) WHERE rank <= 10""")
+def v11_type_boost_whole(emb):
+    """Hits of the type whose centroid, over all vectors, is nearest to the query count for more."""
+    rows = emb.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    centers = rows.groupBy("label", "i").agg(F.avg("x").alias("m"))
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "i", "x")
+    sims = asked.join(centers, "i").groupBy("query_id", "label").agg(F.round(F.sum(F.col("x") * F.col("m")), 6).alias("sim"))
+    best = sims.groupBy("query_id").agg(F.min_by(F.struct("label", "sim"), F.struct(-F.col("sim"), "label")).alias("best"))
+    hits = _dense_whole(emb).join(emb.select("vec_id", "label"), "vec_id").join(best, "query_id")
+    boost = F.when((F.col("best.sim") >= 0.1) & (F.col("best.label") == F.col("label")), 1.35).otherwise(1.0)
+    return hits.select("query_id", "vec_id", F.round(F.col("score") * boost, 8).alias("score"))
+
+
 def _hits_with_words(docs, bench, k):
     hits = R.bm25(docs, bench, "doc_id", "item_id", k)
     return hits.join(docs.select("doc_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")), "doc_id")
