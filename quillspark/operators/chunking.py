@@ -84,12 +84,12 @@ def compress(sentences: list[str], words: set[str], budget: int) -> str:
     return ". ".join(kept[i] for i in sorted(chosen)) or ". ".join(sentences)[:budget]
 
 
-def compress_texts(rows: DataFrame, key: str, budget: int = 400) -> DataFrame:
-    """(key, body): texts of rows (key, text, words) cut to the budget, keeping sentences near the words."""
+def compress_texts(rows: DataFrame, *keys: str, budget: int = 400) -> DataFrame:
+    """(keys, body): texts of rows (keys, text, words) cut to the budget, keeping sentences near the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = [compress([x.rstrip(".!?") for x in _ENDS.split((t or "").strip())], set(w or ()), budget) for t, w in zip(batch.column("text").to_pylist(), batch.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(body, pa.string())], [key, "body"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(body, pa.string())], [*keys, "body"])
 
-    return rows.select(F.col(key).cast("long").alias(key), "text", "words").mapInArrow(run, f"{key} long, body string")
+    return rows.select(*(F.col(k).cast("long").alias(k) for k in keys), "text", "words").mapInArrow(run, ", ".join([*(f"{k} long" for k in keys), "body string"]))

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import retrieval as R
 from quillspark.operators.chunking import chunk_documents, compress_texts
 from quillspark.operators.evaluation import composite, pseudonym, rouge_l, sequence_similarity
 
 from .register import query
-from .retrieval_queries import token_sql
+from .retrieval_queries import BM25_CTE, token_sql
 
 FOLD_SQL = f"translate(lower({{}}), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
 
@@ -224,17 +225,47 @@ def g2_packed_chunks(docs):
     return chunk_documents(docs).select("doc_id", "chunk_index", F.length("body").alias("n"))
 
 
+def _hit_pairs(docs, bench):
+    """(item_id, doc_id, reference, answer): each item's whole text with those of its ten best documents.
+
+    Texts of hits are dealt out by pair, so that slow comparisons spread over the tasks.
+    """
+    hits = R.bm25(docs, bench, "doc_id", "item_id", 10).select("item_id", "doc_id")
+    pairs = hits.join(docs.select("doc_id", F.col("text").alias("answer")), "doc_id").join(bench.select("item_id", F.col("text").alias("reference")), "item_id")
+    return pairs.repartition("item_id", "doc_id")
+
+
 @query("documents", "benchmark")
 def s31_rouge_l(docs, bench):
-    """ROUGE-L of each item against the document of its number."""
-    pairs = bench.select("item_id", F.col("text").alias("reference")).join(docs.select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(1500)).alias("answer")), "item_id")
-    return rouge_l(pairs, "item_id")
+    """ROUGE-L of each item against its ten best documents."""
+    return rouge_l(_hit_pairs(docs, bench), "item_id", "doc_id")
 
 
 @query("documents", "benchmark")
 def s32_sequence_similarity(docs, bench):
-    pairs = bench.join(docs.select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(1500)).alias("answer")), "item_id")
-    return pairs.select("item_id", sequence_similarity("text", "answer").alias("similarity"))
+    return _hit_pairs(docs, bench).select("item_id", "doc_id", sequence_similarity("reference", "answer").alias("similarity"))
+
+
+@query("documents", "benchmark", sql=rf"""WITH {BM25_CTE}, k AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{{L}}]{{7,}}')) AS k FROM benchmark)
+SELECT item_id, doc_id, round(len([x for x in k if contains(lower(bd.text), x)]) / greatest(1, len(k)), 6) AS coverage FROM bm JOIN bd USING (doc_id) JOIN k USING (item_id) WHERE rank <= 10""")
+def s33_coverage_whole(docs, bench):
+    """Part of an item's long words that each of its ten best documents holds."""
+    keys = F.array_distinct(F.regexp_extract_all(F.lower("reference"), F.lit(r"[\p{L}]{7,}"), F.lit(0)))
+    rows = _hit_pairs(docs, bench).select("item_id", "doc_id", keys.alias("k"), F.lower("answer").alias("t"))
+    return rows.select("item_id", "doc_id", F.round(F.size(F.filter("k", lambda x: F.contains("t", x))) / F.greatest(F.lit(1), F.size("k")), 6).alias("coverage"))
+
+
+@query("documents", "benchmark", sql=f"""WITH {BM25_CTE} SELECT item_id, doc_id, regexp_matches(lower(bd.text), '(^|[^0-9])' || (item_id % 10)::VARCHAR || '([^0-9]|$)') AS cited FROM bm JOIN bd USING (doc_id) WHERE rank <= 10""")
+def s16_citation_whole(docs, bench):
+    """Whether each of an item's ten best documents cites its number."""
+    rows = _hit_pairs(docs, bench)
+    return rows.select("item_id", "doc_id", F.regexp_like(F.lower("answer"), F.concat(F.lit("(^|[^0-9])"), (F.col("item_id") % 10).cast("string"), F.lit("([^0-9]|$)"))).alias("cited"))
+
+
+@query("documents", "benchmark", sql=f"""WITH {BM25_CTE} SELECT item_id, doc_id, len(list_intersect(list_distinct(string_split(b.text, ' ')), list_distinct(string_split(bd.text, ' '))))::BIGINT AS n FROM bm JOIN bd USING (doc_id) JOIN benchmark b USING (item_id) WHERE rank <= 10""")
+def u3_overlap_size_whole(docs, bench):
+    """Words that an item shares with each of its ten best documents."""
+    return _hit_pairs(docs, bench).select("item_id", "doc_id", F.size(F.array_intersect(F.split("reference", " "), F.split("answer", " "))).cast("long").alias("n"))
 
 
 @query("customer")
@@ -244,9 +275,9 @@ def s27_pseudonym(customer):
 
 @query("documents", "benchmark")
 def v20_compress(docs, bench):
-    """Each item's document cut to the sentences nearest to the item."""
-    rows = bench.select("item_id", T.tokens(F.col("text")).alias("words")).join(docs.select(F.col("doc_id").alias("item_id"), "text"), "item_id")
-    return compress_texts(rows, "item_id").select("item_id", F.length("body").alias("n"))
+    """Each item's ten best documents cut to the sentences nearest to the item."""
+    rows = _hit_pairs(docs, bench).select("item_id", "doc_id", F.col("answer").alias("text"), T.tokens(F.col("reference")).alias("words"))
+    return compress_texts(rows, "item_id", "doc_id").select("item_id", "doc_id", F.length("body").alias("n"))
 
 
 @query("documents", sql=r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '-\n', '', 'g'), '\n+', ' ', 'g'))) AS repaired FROM documents")

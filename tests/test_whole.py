@@ -1,8 +1,12 @@
 """Queries over whole tables and whole texts, against brute force."""
 
+import random
+from difflib import SequenceMatcher
+
 import numpy as np
 
-from quillspark.plans import retrieval_queries
+from quillspark.operators.evaluation import common_length
+from quillspark.plans import retrieval_queries, text_queries
 
 
 def test_dense_asks_every_twentieth_of_all_rows(spark):
@@ -14,3 +18,27 @@ def test_dense_asks_every_twentieth_of_all_rows(spark):
     dots = np.round(v.astype(np.float64) @ v.astype(np.float64).T, 6)
     want = {(q, k + 1): i for q in range(0, 130, 20) for k, i in enumerate(sorted((i for i in range(130) if i != q), key=lambda i: (-dots[q, i], i))[:10])}
     assert got == want and got[40, 1] == 5 and got[100, 1] == 60
+
+
+def test_common_length():
+    rng = random.Random(4)
+    for n, m in [(0, 3), (3, 0), (1, 1), (7, 40), (90, 70), (130, 20)]:
+        a, b = ([rng.choice("abcdef") for _ in range(k)] for k in (n, m))
+        rows = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if a[i] == b[j] else max(rows[i][j + 1], rows[i + 1][j])
+        assert common_length(a, b) == rows[n][m]
+
+
+def test_answers_are_whole_texts_of_hits(spark):
+    item = "alpha bravo charlie delta echo"
+    long = "noise " * 400 + item  # what they share begins after 1,500 characters
+    docs = spark.createDataFrame([(1, "other words stand here"), (77, long)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (r,) = text_queries.s31_rouge_l(docs, bench).collect()
+    assert (r.item_id, r.doc_id, r.precision, r.recall) == (1, 77, round(5 / 405, 4), 1.0)
+    (r,) = text_queries.s32_sequence_similarity(docs, bench).collect()
+    assert (r.doc_id, r.similarity) == (77, round(SequenceMatcher(None, item, long).ratio(), 4))
+    (r,) = text_queries.v20_compress(docs, bench).collect()
+    assert (r.item_id, r.doc_id) == (1, 77)
