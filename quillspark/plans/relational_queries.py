@@ -147,6 +147,15 @@ def w6_lag_overlap(docs):
     return rows.select("doc_id", F.size(F.array_intersect("w", "p")).cast("long").alias("shared"))
 
 
+@query("documents", sql=r"WITH l AS (SELECT doc_id, lag(list_distinct(string_split(right(text, 150), ' '))) OVER (PARTITION BY source ORDER BY doc_id) AS p, list_distinct(string_split(left(text, 150), ' ')) AS w FROM documents) SELECT doc_id, len(list_intersect(w, p))::BIGINT AS shared FROM l WHERE p IS NOT NULL")
+def w6_lag_overlap_whole(docs):
+    """Words that a document's head shares with the tail of the one before it."""
+    words = lambda f: F.split(f("text", F.lit(150)), " ")
+    before = F.lag("tail").over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = docs.select("doc_id", "source", words(F.right).alias("tail"), words(F.left).alias("head")).withColumn("p", before).filter("p IS NOT NULL")
+    return rows.select("doc_id", F.size(F.array_intersect("head", "p")).cast("long").alias("shared"))
+
+
 @query("orders", sql="""SELECT o_custkey, o_orderkey, 'top' AS side FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 5
 UNION ALL SELECT o_custkey, o_orderkey, 'bottom' FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey DESC) <= 5""")
 def w8_top_bottom(orders):

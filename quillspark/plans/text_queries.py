@@ -53,6 +53,12 @@ def s14_capitalised(docs):
     return docs.select("doc_id", F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), F.lit(0)))), 1, 5).alias("names"))
 
 
+@query("documents")
+def s14_capitalised_whole(docs):
+    """All the distinct capitalised names and acronyms, sorted; word ends are Unicode's, as in the reference."""
+    return docs.select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Z][a-zA-Z0-9_\-]{2,}|[A-Z]{2,})\b"), F.lit(1)))).alias("names"))
+
+
 #: Rules of entities: name, pattern.
 ENTITY_RULES = (("NUMBER", "[0-9]{2,}"), ("MAIL", "[a-z0-9.]+@[a-z0-9.]+"), ("URL", "https?://[^ ]+"))
 
@@ -157,6 +163,12 @@ def j1_contextual_prefix(docs):
     return docs.select("doc_id", F.concat(F.concat_ws(" | ", F.when(F.col("lang") != "en", F.concat(F.lit("type: "), "lang")), F.concat(F.lit("source: "), "source")), F.lit("\n"), F.left("text", F.lit(50))).alias("enriched"))
 
 
+@query("documents", sql="SELECT doc_id, concat_ws(' | ', CASE WHEN lang <> 'en' THEN 'type: ' || lang END, 'source: ' || source) || chr(10) || text AS enriched FROM documents")
+def j1_contextual_prefix_whole(docs):
+    """The prefix before the whole text."""
+    return docs.select("doc_id", F.concat(F.concat_ws(" | ", F.when(F.col("lang") != "en", F.concat(F.lit("type: "), "lang")), F.concat(F.lit("source: "), "source")), F.lit("\n"), "text").alias("enriched"))
+
+
 @query("documents", sql=f"""WITH t AS (SELECT doc_id, unnest({token_sql('text')}) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS cf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 2""")
 def a10_term_stats(docs):

@@ -1,12 +1,13 @@
 """Queries over whole tables and whole texts, against brute force."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
 
 from quillspark.operators.evaluation import common_length
-from quillspark.plans import retrieval_queries, text_queries
+from quillspark.plans import relational_queries, retrieval_queries, text_queries
 
 
 def test_dense_asks_every_twentieth_of_all_rows(spark):
@@ -42,3 +43,19 @@ def test_answers_are_whole_texts_of_hits(spark):
     assert (r.doc_id, r.similarity) == (77, round(SequenceMatcher(None, item, long).ratio(), 4))
     (r,) = text_queries.v20_compress(docs, bench).collect()
     assert (r.item_id, r.doc_id) == (1, 77)
+
+
+def test_names_are_whole_sets(spark, sf):
+    own = spark.createDataFrame([(-1, "Zoe met Ann, Bob, NASA, EU and éABC at Rue-12 in Alabama Bavaria Colorado Delaware Estonia Florida")], "doc_id long, text string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(own)
+    form = re.compile(r"\b([A-Z][a-zA-Z0-9_\-]{2,}|[A-Z]{2,})\b")
+    want = {r.doc_id: sorted(set(form.findall(r.text))) for r in docs.collect()}
+    assert {r.doc_id: r.names for r in text_queries.s14_capitalised_whole(docs).collect()} == want
+    assert len(want[-1]) == 12 and {"EU", "NASA", "Zoe"} <= set(want[-1])
+
+
+def test_whole_texts_and_their_ends(spark):
+    a, b = "head " * 60 + "seam one two", "seam one two " + "rest " * 60
+    docs = spark.createDataFrame([(1, a, "fr", "s"), (2, b, "en", "s"), (3, "Title\n" + "\n".join(["x" * 50] * 100) + "\nLast\nend " + "y" * 60, "en", "t")], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.enriched for r in text_queries.j1_contextual_prefix_whole(docs).collect()}[1] == f"type: fr | source: s\n{a}"
+    assert [(r.doc_id, r.shared) for r in relational_queries.w6_lag_overlap_whole(docs).collect()] == [(2, 3)]
