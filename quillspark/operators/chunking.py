@@ -63,6 +63,38 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index long, body string")
 
 
+def by_headings(text: str, longest: int = 60) -> list[tuple[int, str]]:
+    """(article, chunk) of a text: with two or more headings, lines of 1 to ``longest`` characters, an article from each to the next.
+
+    Articles under DROPPED characters go, those up to TARGET stay whole, longer ones are packed under their
+    heading; what stands before the first heading is no article. Other texts are packed whole as article 0.
+    """
+    starts, at = [], 0
+    for line in text.split("\n"):
+        if 1 <= len(line.strip()) <= longest:
+            starts.append((at, line.strip()))
+        at += len(line) + 1
+    if len(starts) < 2:
+        return [(0, c) for c in pack(text)]
+    out = []
+    for n, (start, heading) in enumerate(starts):
+        body = text[start : starts[n + 1][0] if n + 1 < len(starts) else len(text)].strip()
+        if len(body) >= DROPPED:
+            out += [(n + 1, c) for c in ([body] if len(body) <= TARGET else pack(body, heading))]
+    return out
+
+
+def split_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, article, chunk_index, body) of every document, by its headings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, n, i, c) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i, (n, c) in enumerate(by_headings(t or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "article", "chunk_index", "body"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, article long, chunk_index long, body string")
+
+
 def compress(sentences: list[str], words: set[str], budget: int) -> str:
     """The sentences that share most words with the query, in their order, up to a budget of characters."""
     budget = max(200, budget)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
-from quillspark.operators.chunking import chunk_documents, compress_texts
+from quillspark.operators.chunking import chunk_documents, compress_texts, split_documents
 from quillspark.operators.evaluation import composite, pseudonym, rouge_l, sequence_similarity
 
 from .register import query
@@ -110,6 +110,12 @@ def g1_heading_split(docs):
     return lines.withColumn("part", part.cast("long")).groupBy("doc_id", "part").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n"))
 
 
+@query("documents")
+def g1_heading_split_whole(docs):
+    """Articles of every document by its headings, long ones packed; documents of fewer than two headings packed whole."""
+    return split_documents(docs).select("doc_id", "article", "chunk_index", F.length("body").alias("n"))
+
+
 #: Ordered guard rules: id, pattern on the folded text.
 GUARD_RULES = ((1, "ignore .* instructions"), (2, "(pass)?word"), (3, "the [a-z]+tion"), (4, "que "))
 _GUARD = " ".join(f"WHEN regexp_matches({FOLD_SQL.format('text')}, '{p}') THEN {i}" for i, p in GUARD_RULES)
@@ -322,6 +328,17 @@ def s13_heading_carry(docs):
     return lines.withColumn("h", heading).filter("h IS NOT NULL").select("doc_id", "i", F.md5("h").alias("heading"))
 
 
+@query("documents", sql="""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+h AS (SELECT doc_id, i, last_value(CASE WHEN length(line) BETWEEN 1 AND 40 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS heading FROM l)
+SELECT doc_id, i::INTEGER AS i, md5(heading) AS heading FROM h WHERE heading IS NOT NULL""")
+def s13_heading_carry_whole(docs):
+    """The last short line before each line of a document."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("i", F.col("p") + 1)
+    w = Window.partitionBy("doc_id").orderBy("i")
+    heading = F.last(F.when(F.length("line").between(1, 40), F.col("line")), ignorenulls=True).over(w)
+    return lines.withColumn("h", heading).filter("h IS NOT NULL").select("doc_id", "i", F.md5("h").alias("heading"))
+
+
 @query("benchmark", "documents", sql="SELECT item_id, regexp_matches(lower(d.text), '(^|[^0-9])' || (item_id % 10)::VARCHAR || '([^0-9]|$)') AS cited FROM benchmark JOIN documents d ON d.doc_id = item_id")
 def s16_citation(bench, docs):
     """Whether a text cites its item's number: the pattern is made from the row."""

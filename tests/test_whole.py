@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 
+from quillspark.operators.chunking import split_documents
 from quillspark.operators.evaluation import common_length
 from quillspark.plans import relational_queries, retrieval_queries, text_queries
 
@@ -59,3 +60,18 @@ def test_whole_texts_and_their_ends(spark):
     docs = spark.createDataFrame([(1, a, "fr", "s"), (2, b, "en", "s"), (3, "Title\n" + "\n".join(["x" * 50] * 100) + "\nLast\nend " + "y" * 60, "en", "t")], "doc_id long, text string, lang string, source string")
     assert {r.doc_id: r.enriched for r in text_queries.j1_contextual_prefix_whole(docs).collect()}[1] == f"type: fr | source: s\n{a}"
     assert [(r.doc_id, r.shared) for r in relational_queries.w6_lag_overlap_whole(docs).collect()] == [(2, 3)]
+    lines = [r.i for r in text_queries.s13_heading_carry_whole(docs).collect() if r.doc_id == 3]
+    assert sorted(lines) == list(range(1, 104))
+
+
+def test_headings_split_documents_of_any_length(spark):
+    line = "a line of well over sixty characters, which is no heading in any document here."
+    parts = ["\n".join([f"Part {k}", *[line] * n]) for k, n in enumerate((3, 0, 500, 7))]
+    docs = spark.createDataFrame([(1, "\n".join([line, *parts])), (2, "\n".join(["Only", *[line] * 450])), (3, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.article, r.body) for r in split_documents(docs).collect()]
+    whole = {n: b for d, n, b in got if d == 1 and n in (1, 4)}
+    assert whole == {1: parts[0], 4: parts[3]} and {n for d, n, _ in got if d == 1} == {1, 3, 4}
+    assert sum(b.count("which is no heading") for d, n, b in got if (d, n) == (1, 3)) >= 500
+    assert {n for d, n, _ in got if d == 2} == {0} and sum(b.count("which is no heading") for d, _, b in got if d == 2) >= 450
+    assert all(b.startswith("Part 2\n") and len(b) <= 850 for d, n, b in got if (d, n) == (1, 3))
+    assert not any(d == 3 for d, *_ in got)
