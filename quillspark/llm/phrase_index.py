@@ -173,7 +173,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def proximity(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3) -> DataFrame:
-    """(item_id, doc_id) where the two rarest terms of one of the item's windows stand apart as in the item, give or take ``slop`` words."""
+    """(item_id, doc_id) where the two rarest terms of one of the item's windows stand apart as in the item, give or take ``slop`` words; the other words aren't looked at."""
     ws = Workspace(docs.sparkSession, "proximity")
     words = ws.table(item_words(items))
     index = ws.table(build_index(docs))
