@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -19,6 +19,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 5
 #: A band key with so many lines in a sample of 1 in SAMPLE is hot, and its lines are dealt over SALTS groups.
 SAMPLE, HOT, SALTS, MOST_HOT = 64, 64, 64, 10_000
+#: 64-bit words of a line's shingle parities.
+PARITY_WORDS = 16
+#: Lines of a block where a group's classes are held against each other.
+BLOCK = 1024
+#: Names of lines that a task remembers.
+MOST_SEEN = 1 << 20
 #: Bits of the filter for the lines whose text is compared.
 FILTER_BITS = 25
 _U = np.uint64
@@ -62,18 +68,38 @@ def _names(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
     return k1, kernels.mixed(np.add.reduceat(kernels.mixed(hashes + place), first[:-1]) ^ k1)
 
 
+def _parities(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's number of distinct shingles, and for each of ``PARITY_WORDS`` * 64 cells whether an odd number of them falls in it."""
+    n = len(first) - 1
+    line = np.repeat(np.arange(n, dtype=_U), np.diff(first))
+    spare, bits = n.bit_length(), (PARITY_WORDS * 64).bit_length() - 1
+    both = np.sort((line << _U(64 - spare)) | (hashes >> _U(spare)))
+    both = both[np.append(True, both[1:] != both[:-1])]
+    line = both >> _U(64 - spare)
+    cells = np.sort(both >> _U(64 - spare - bits))  # a shingle's cell: the highest bits of its hash
+    at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    odd = cells[at[(np.diff(np.append(at, len(cells))) & 1).astype(bool)]]
+    words = (odd >> _U(6)).astype(np.int64)
+    out = np.zeros(n * PARITY_WORDS, _U)
+    if len(odd):
+        head = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        out[words[head]] = np.bitwise_or.reduceat(_U(1) << (odd & _U(63)), head)
+    return np.bincount(line.astype(np.int64), minlength=n).astype(np.int32), out.reshape(n, PARITY_WORDS)
+
+
 def signatures(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, line, k1, k2, bands) of every line with a word of keyed rows; k1 and k2 together name its exact text.
+    """(doc_id, key, line, k1, k2, n, odd, bands) of every line with a word of keyed rows; k1 and k2 together name its exact text.
 
-    Of several equal lines in a task only the first has bands. Each minimum is over the shingles' hashes times
-    an odd number plus another, modulo 2^32, both drawn anew for each.
+    Of several equal lines in a task only the first has bands, its number of distinct shingles and their
+    parities. Each minimum is over the shingles' hashes times an odd number plus another, modulo 2^32, both
+    drawn anew for each.
     """
     rng = np.random.default_rng(29)
     factors = rng.integers(0, 1 << 32, (BANDS, ROWS), np.uint32) | np.uint32(1)
     shifts = rng.integers(0, 1 << 32, (BANDS, ROWS), np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # as many as a task's input has distinct lines
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in kernels.text_chunks(batch.column("text"), 1 << 18):
@@ -84,43 +110,90 @@ def signatures(rows: DataFrame) -> DataFrame:
                 k1, k2 = _names(points, starts, ends, hashes, first)
                 at = np.unique(k1, return_index=True)[1]
                 new = at[[x not in seen for x in k1[at].tolist()]]
+                if len(seen) > MOST_SEEN:  # a line met again is only worked out again
+                    seen.clear()
                 seen.update(k1[new].tolist())
                 fresh = np.zeros(len(starts), bool)
                 fresh[new] = True
-                low = (hashes[np.repeat(fresh, np.diff(first))] >> _U(32)).astype(np.uint32)
-                heads = np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])[:-1]
+                own = hashes[np.repeat(fresh, np.diff(first))]
+                heads = np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
+                size = np.zeros(len(starts), np.int32)
+                size[fresh], odd = _parities(own, heads)
+                low = (own >> _U(32)).astype(np.uint32)
                 values = np.empty_like(low)
-                bands = np.empty((len(heads), BANDS), _U)
-                for band in range(BANDS if len(heads) else 0):
-                    key = np.full(len(heads), band + 1, _U)
+                bands = np.empty((len(heads) - 1, BANDS), _U)
+                for band in range(BANDS if len(low) else 0):
+                    key = np.full(len(heads) - 1, band + 1, _U)
                     for r in range(ROWS):
                         np.multiply(low, factors[band, r], out=values)
                         values += shifts[band, r]
-                        key = kernels.mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, heads))
+                        key = kernels.mixed(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, heads[:-1]))
                     bands[:, band] = key
-                cuts = np.concatenate([[0], np.cumsum(np.where(fresh, BANDS, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), batch.column("key").take(pa.array(lo + doc)), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(bands.ravel().view(np.int64)))], ["doc_id", "key", "line", "k1", "k2", "bands"])
 
-    return rows.select("doc_id", "key", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key string, line int, k1 long, k2 long, bands array<long>")
+                def lists(values: np.ndarray) -> pa.Array:
+                    cuts = np.concatenate([[0], np.cumsum(np.where(fresh, values.shape[1], 0))]).astype(np.int32)
+                    return pa.ListArray.from_arrays(cuts, pa.array(values.ravel().view(np.int64)))
+
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), batch.column("key").take(pa.array(lo + doc)), pa.array(number), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size), lists(odd), lists(bands)], ["doc_id", "key", "line", "k1", "k2", "n", "odd", "bands"])
+
+    return rows.select("doc_id", "key", F.col("row.text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key string, line int, k1 long, k2 long, n int, odd array<long>, bands array<long>")
 
 
 def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(key, node, center) for lines that share a band key with another line, and pairs (u, v) of hot keys' centers.
+    """(key, node, center, last, hot) for lines that share a band key with another line, and the pairs (u, v) to try first.
 
     A line is named by k1 here: half its name is enough to find what may be alike, and the check of the
-    texts tells apart what has the same half.
+    texts tells apart what has the same half. A group has two centers, its first and last lines in an order
+    that each key draws anew, and every line of the group is tried with both. A hot key's lines are dealt
+    over ``SALTS`` groups, whose centers are tried with one of them.
     """
     rows = lines.select(F.explode("bands").alias("key"), F.col("k1").alias("node"))
     part = lines.filter(F.pmod("k2", F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("key"))
     hot = ws.table(part.groupBy("key").count().filter(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    group = Window.partitionBy("key", "salt")
+    group, turn = Window.partitionBy("key", "salt"), F.col("node").bitwiseXOR(F.col("key"))
     salted = rows.join(F.broadcast(hot), "key", "left").select("key", "node", salt.alias("salt"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    grouped = salted.withColumn("center", F.min("node").over(group)).withColumn("last", F.max("node").over(group))
-    shared = ws.table(grouped.filter((F.col("center") != F.col("last")) | F.col("hot")).select("key", "salt", "node", "center", "hot").distinct())
+    grouped = salted.withColumn("center", F.min(turn).over(group).bitwiseXOR(F.col("key"))).withColumn("last", F.max(turn).over(group).bitwiseXOR(F.col("key")))
+    shared = ws.table(grouped.filter((F.col("center") != F.col("last")) | F.col("hot")).select("key", "node", "center", "last", "hot").distinct())
+    ws.drop(hot)
     centers = shared.filter("hot").select("key", "center").distinct()
-    least = centers.groupBy("key").agg(F.min("center").alias("u"))
-    return shared.select("key", "node", "center"), centers.join(least, "key").filter("u <> center").select("u", F.col("center").alias("v"))
+    least = centers.groupBy("key").agg(F.min("center").alias("node"))
+    pairs = shared.select("node", F.explode(F.array("center", "last")).alias("other")).unionByName(centers.join(least, "key").select("node", F.col("center").alias("other")))
+    return shared, pairs.filter("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
+
+def may_link(a: str, b: str, similarity: float) -> Column:
+    """False only if Jaccard is under ``similarity``, from the sizes and parities of two sets.
+
+    Sets at Jaccard s or more differ in at most (1 - s) / (1 + s) of their summed sizes. They differ in as
+    many elements as their sizes at least, and as the cells where their parities differ.
+    """
+    most = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    unlike = sum((F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(1, PARITY_WORDS)), F.bit_count(F.col(f"{a}.odd")[0].bitwiseXOR(F.col(f"{b}.odd")[0])))
+    return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (unlike <= most)
+
+
+def remaining(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of one key that the centers left apart and that may link, each once.
+
+    ``labels`` (node, label) has the classes so far, ``sets`` (node, n, odd) the parities. Groups whose
+    lines are of one class are done. In the others a line meets the lines of other classes, in cells of two
+    blocks of about ``BLOCK`` lines, and the join keeps a pair only if the bound allows it and under the
+    smallest key that the two share.
+    """
+    member = shared.filter("hot OR (node <> center AND node <> last)").select("key", "node").distinct().join(labels, "node", "left")
+    member = member.withColumn("label", F.coalesce("label", F.struct(F.col("node").alias("k1"), F.lit(0).cast("long").alias("k2"))))
+    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
+    member = member.join(mixed, "key")
+    own = member.groupBy("node", "label").agg(F.collect_list(F.struct("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))).alias("groups")).join(sets, "node")
+    x = F.struct("node", "label", "n", "odd", F.col("groups.key").alias("keys")).alias("x")
+    rows = own.select(x, F.explode("groups").alias("g")).withColumn("block", F.pmod("x.node", "g.blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("g.blocks") - 1)).alias("other")
+    rows = rows.select("x", F.col("g.key").alias("key"), "block", other).select("x", "key", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    a, b = rows.withColumnsRenamed({"x": "a", "block": "ba"}), rows.withColumnsRenamed({"x": "b", "block": "bb"})
+    apart = (F.col("a.label") < F.col("b.label")) & ((F.col("p") == F.col("q")) | (F.col("ba") != F.col("bb")))
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("key")
+    return a.join(b, ["key", "p", "q"]).filter(apart & may_link("a", "b", similarity) & once).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -186,26 +259,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def line_classes(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """All lines with a word (doc_id, key, line, node) of keyed rows, and (node, label) of those with a near copy of other text."""
+    """All lines with a word (doc_id, key, line, node) of keyed rows, and (node, label) of those with a near copy of other text.
+
+    Lines link that share a band key and are as similar as asked. Each is first held against its groups'
+    centers. What stays in different classes of a group is then held against each other, unless an exact
+    bound on the similarity rules it out, so no link between classes is lost.
+    """
     wide = ws.table(signatures(rows))
     shared, pairs = candidates(wide, ws)
-    lines = ws.table(wide.drop("bands"))
-    ws.drop(wide)
-    texts = ws.table(texts_of(rows.select("row.text"), shared.select("node").distinct()))
-    star = shared.filter("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).unionByName(pairs).distinct()
-    links = ws.table(_verified(star, texts, similarity))
+    nodes = shared.select("node").distinct()
+    sets = ws.table(wide.filter("n > 0").select(F.col("k1").alias("node"), "n", "odd").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    a, b = (sets.select(F.col("node").alias(w), F.struct("n", "odd").alias(x)) for w, x in (("u", "a"), ("v", "b")))
+    near = ws.table(pairs.join(a, "u").join(b, "v").filter(may_link("a", "b", similarity)).select("u", "v"))
+    # The text of what passed, and of lines in groups that two centers can't settle.
+    rest = shared.filter("hot OR (node <> center AND node <> last)")
+    rest = rest.join(rest.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "key", "left_semi").select("node")
+    wanted = ws.table(near.select(F.explode(F.array("u", "v")).alias("node")).union(rest).distinct())
+    texts = ws.table(texts_of(rows.select("row.text"), wanted))
+    links = ws.table(_verified(near, texts, similarity))
     classes = ws.table(connected(links, ws))
-    # What shares a key with a line of another class may be like one that isn't its group's center.
-    labels = classes.select(F.col("node.k1").alias("node"), "label")
-    member = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", F.struct(F.col("node").alias("k1"), F.lit(0).cast("long").alias("k2"))).alias("label"))
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    member = ws.table(member.join(mixed, "key"))
-    a, b = member.toDF("key", "u", "lu"), member.toDF("key", "v", "lv")
-    rest = a.join(b, "key").filter("lu < lv").select("u", "v").distinct().join(star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti")
-    more = ws.table(_verified(rest, texts, similarity))
+    ws.drop(near, wanted, links)
+    more = ws.table(_verified(ws.table(remaining(shared, classes.select(F.col("node.k1").alias("node"), "label"), sets, similarity)), texts, similarity))
     if not more.isEmpty():
-        classes = ws.table(connected(links.unionByName(more), ws))
-    return lines.select("doc_id", "key", "line", F.struct("k1", "k2").alias("node")), classes
+        classes = ws.table(connected(classes.toDF("u", "v").unionByName(more), ws))
+    ws.drop(shared, sets, texts, more)
+    return wide.select("doc_id", "key", "line", F.struct("k1", "k2").alias("node")), classes
 
 
 def dropped_lines(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> DataFrame:
@@ -217,17 +295,23 @@ def dropped_lines(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY
     ignored.
     """
     lines, classes = line_classes(rows, ws, similarity)
-    named = lines.join(classes, "node", "left").select("doc_id", "key", "line", F.coalesce("label", "node").alias("class"))
-    first = named.groupBy("class").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"), F.count("*").alias("n")).filter("n > 1")
-    out = named.join(first, "class").filter(F.struct("doc_id", "key", "line") != F.col("at"))
-    return ws.table(out.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("dropped")))
+    place = ["doc_id", "key", "line"]
+    firsts = ws.table(lines.groupBy("node").agg(F.min(F.struct(*place)).alias("at")))
+    labelled = ws.table(firsts.join(classes, "node").select("label", "at"))
+    kept = labelled.groupBy("label").agg(F.min("at").alias("at"))
+    # A line goes if it isn't the first of its text, or if that isn't the first of its class.
+    again = lines.select(*place).join(firsts.select("at.*"), place, "left_anti")
+    beaten = labelled.select("at.*").join(kept.select("at.*"), place, "left_anti")
+    out = ws.table(again.unionByName(beaten).groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("dropped")))
+    ws.drop_all_but(out)
+    return out
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without their dropped lines; the other columns stay, n_chars is counted anew."""
-    ws = Workspace(docs.sparkSession, "lines")
-    packed = keyed(docs, ws)
-    gone = dropped_lines(packed, ws, similarity)
+    spark = docs.sparkSession
+    packed = keyed(docs, Workspace(spark, "rows"))
+    gone = dropped_lines(packed, Workspace(spark, "lines"), similarity)
     parts = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("dropped", e.i))
     rest = F.array_join(F.transform(parts, lambda e: e.x), "\n")
     row = F.col("row").withField("text", rest)
@@ -239,7 +323,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def digest(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_dropped and the dropped lines' numbers, for every document."""
-    ws = Workspace(docs.sparkSession, "lines")
-    rows = keyed(docs, ws)
-    gone = dropped_lines(rows, ws, similarity)
+    spark = docs.sparkSession
+    rows = keyed(docs, Workspace(spark, "rows"))
+    gone = dropped_lines(rows, Workspace(spark, "lines"), similarity)
     return rows.select("doc_id", "key").join(gone, ["doc_id", "key"], "left").select(loose(), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

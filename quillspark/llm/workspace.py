@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests on one machine) a new temporary folder."""
+    """The session's spark.checkpoint.dir; where it is unset on one machine (tests), a new temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -45,5 +47,15 @@ class Workspace:
         """Delete tables that nothing will read again."""
         for x in tables:
             if at := getattr(x, "_quill_path", None):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self._delete(at)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete this folder's tables, but for those that are still to be read."""
+        left = {getattr(x, "_quill_path", None) for x in tables}
+        for i in range(1, self.n + 1):
+            if (at := f"{self.path}/{i}") not in left:
+                self._delete(at)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
