@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +69,20 @@ def _names(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.
     return k1, kernels.mixed(np.add.reduceat(kernels.mixed(hashes + place), first[:-1]) ^ k1)
 
 
+def _distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each line's distinct shingles, sorted: the line's number in the high bits, so many low bits of hash."""
+    n = len(first) - 1
+    low = 64 - n.bit_length()
+    both = np.sort((np.repeat(np.arange(n, dtype=_U), np.diff(first)) << _U(low)) | (hashes >> _U(64 - low)))
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both, low
+
+
 def _parities(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each line's number of distinct shingles, and for each of ``PARITY_WORDS`` * 64 cells whether an odd number of them falls in it."""
-    n = len(first) - 1
-    line = np.repeat(np.arange(n, dtype=_U), np.diff(first))
-    spare, bits = n.bit_length(), (PARITY_WORDS * 64).bit_length() - 1
-    both = np.sort((line << _U(64 - spare)) | (hashes >> _U(spare)))
-    both = both[np.append(True, both[1:] != both[:-1])]
-    line = both >> _U(64 - spare)
-    cells = np.sort(both >> _U(64 - spare - bits))  # a shingle's cell: the highest bits of its hash
+    n, bits = len(first) - 1, (PARITY_WORDS * 64).bit_length() - 1
+    both, low = _distinct(hashes, first)
+    line = both >> _U(low)
+    cells = np.sort(both >> _U(low - bits))  # a shingle's cell: the highest bits of its hash
     at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
     odd = cells[at[(np.diff(np.append(at, len(cells))) & 1).astype(bool)]]
     words = (odd >> _U(6)).astype(np.int64)
@@ -143,17 +149,18 @@ def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(key, node, center, last, hot) for lines that share a band key with another line, and the pairs (u, v) to try first.
 
     A line is named by k1 here: half its name is enough to find what may be alike, and the check of the
-    texts tells apart what has the same half. A group has two centers, its first and last lines in an order
-    that each key draws anew, and every line of the group is tried with both. A hot key's lines are dealt
-    over ``SALTS`` groups, whose centers are tried with one of them.
+    texts tells apart what has the same half. A group has two centers, its first and last lines in one of
+    four orders, which the key draws, and every line of the group is tried with both. A hot key's lines are
+    dealt over ``SALTS`` groups, whose centers are tried with one of them.
     """
     rows = lines.select(F.explode("bands").alias("key"), F.col("k1").alias("node"))
     part = lines.filter(F.pmod("k2", F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("key"))
     hot = ws.table(part.groupBy("key").count().filter(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot")))
     salt = F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    group, turn = Window.partitionBy("key", "salt"), F.col("node").bitwiseXOR(F.col("key"))
+    group, order = Window.partitionBy("key", "salt"), F.col("key").bitwiseAND(3) * F.lit(((1 << 63) - 1) // 3)
+    turn = F.col("node").bitwiseXOR(order)
     salted = rows.join(F.broadcast(hot), "key", "left").select("key", "node", salt.alias("salt"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    grouped = salted.withColumn("center", F.min(turn).over(group).bitwiseXOR(F.col("key"))).withColumn("last", F.max(turn).over(group).bitwiseXOR(F.col("key")))
+    grouped = salted.withColumn("center", F.min(turn).over(group).bitwiseXOR(order)).withColumn("last", F.max(turn).over(group).bitwiseXOR(order))
     shared = ws.table(grouped.filter((F.col("center") != F.col("last")) | F.col("hot")).select("key", "node", "center", "last", "hot").distinct())
     ws.drop(hot)
     centers = shared.filter("hot").select("key", "center").distinct()
@@ -234,22 +241,31 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v), by whole names, whose lines' shingle sets have at least this Jaccard similarity; ``pairs`` has halves."""
+    """Pairs (u, v) of nodes, structs of k1 and k2, whose shingle sets have at least this Jaccard similarity; pairs are of k1.
 
-    def shingles(t: str) -> frozenset:
-        return frozenset(t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1)))
+    Shingles are compared by 48 bits of their hash or more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, before, a = [], None, frozenset()
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                if x != before:
-                    before, a = x, shingles(x)
-                b = shingles(y)
-                both = len(a & b)
-                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            picked = batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-            yield picked
+            size = np.add(*(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("a", "b")))
+            cut = np.flatnonzero(np.diff(np.cumsum(size) >> 21, prepend=0))  # slices of about 2 MB of text
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(size)]):
+                if lo == hi:
+                    continue
+                sets, sizes = [], []
+                for c in ("a", "b"):
+                    for _, _, data, offsets in kernels.text_chunks(batch.column(c).slice(lo, hi - lo), 1 << 62, 1 << 62):
+                        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+                        at = np.concatenate([[0], np.cumsum(kernels.HEAD[data])])[offsets]
+                        both, low = _distinct(*_hashes(points, at[:-1], at[1:]))
+                        sets.append(both)
+                        sizes.append(np.bincount((both >> _U(low)).astype(np.int64), minlength=hi - lo))
+                met = np.sort(np.concatenate(sets))
+                met = met[:-1][met[1:] == met[:-1]] >> _U(low)
+                shared = np.bincount(met.astype(np.int64), minlength=hi - lo)
+                keep = shared >= similarity * (sizes[0] + sizes[1] - shared) - 1e-9
+                yield batch.slice(lo, hi - lo).select(["u", "v"]).filter(pa.array(keep))
 
     named = texts.select("k1", F.struct("k1", "k2").alias("node"), "body")
     both = pairs.withColumnRenamed("v", "k1").join(named, "k1").select("u", F.col("node").alias("v"), F.col("body").alias("b"))
@@ -258,6 +274,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, f"u {node}, v {node}")
 
 
+def merged(classes: DataFrame, links: DataFrame, ws: Workspace) -> DataFrame:
+    """Classes (node, label) after more links (u, v): only the labels that links join are worked out anew."""
+    ends = links
+    for c in ("u", "v"):
+        ends = ends.join(classes.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+    ends = ends.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    up = ws.table(connected(ends, ws)).toDF("label", "higher")
+    new = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(classes, "node", "left_anti")
+    every = classes.unionByName(new.withColumn("label", F.col("node")))
+    return every.join(up, "label", "left").select("node", F.coalesce("higher", "label").alias("label"))
+
+
 def line_classes(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc_id, key, line, node) of keyed rows, and (node, label) of those with a near copy of other text.
 
@@ -281,7 +309,7 @@ def line_classes(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY)
     ws.drop(near, wanted, links)
     more = ws.table(_verified(ws.table(remaining(shared, classes.select(F.col("node.k1").alias("node"), "label"), sets, similarity)), texts, similarity))
     if not more.isEmpty():
-        classes = ws.table(connected(classes.toDF("u", "v").unionByName(more), ws))
+        classes = ws.table(merged(classes, more, ws))
     ws.drop(shared, sets, texts, more)
     return wide.select("doc_id", "key", "line", F.struct("k1", "k2").alias("node")), classes
 
