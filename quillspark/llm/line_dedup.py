@@ -26,8 +26,8 @@ PARITY_WORDS = 16
 BLOCK = 1024
 #: Names of lines that a task remembers.
 MOST_SEEN = 1 << 20
-#: Bits of the filter for the lines whose text is compared.
-FILTER_BITS = 25
+#: The filter for the lines whose text is compared has so many bits a line, in a power of two between these bounds (128 KB to 128 MB).
+FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 20, 30
 _U = np.uint64
 
 
@@ -155,13 +155,22 @@ def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """
     rows = lines.select(F.explode("bands").alias("key"), F.col("k1").alias("node"))
     part = lines.filter(F.pmod("k2", F.lit(SAMPLE)) == 0).select(F.explode("bands").alias("key"))
-    hot = ws.table(part.groupBy("key").count().filter(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key", F.lit(True).alias("hot")))
-    salt = F.when(F.col("hot"), F.pmod("node", F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    group, order = Window.partitionBy("key", "salt"), F.col("key").bitwiseAND(3) * F.lit(((1 << 63) - 1) // 3)
+    hot = ws.table(part.groupBy("key").count().filter(F.col("count") >= HOT).orderBy(F.desc("count"), "key").limit(MOST_HOT).select("key"))
+    order = F.col("key").bitwiseAND(3) * F.lit(((1 << 63) - 1) // 3)
     turn = F.col("node").bitwiseXOR(order)
-    salted = rows.join(F.broadcast(hot), "key", "left").select("key", "node", salt.alias("salt"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    grouped = salted.withColumn("center", F.min(turn).over(group).bitwiseXOR(order)).withColumn("last", F.max(turn).over(group).bitwiseXOR(order))
-    shared = ws.table(grouped.filter((F.col("center") != F.col("last")) | F.col("hot")).select("key", "node", "center", "last", "hot").distinct())
+
+    def grouped(rows: DataFrame, by: list[str], is_hot: bool) -> DataFrame:
+        group = Window.partitionBy(*by)
+        ends = rows.withColumn("center", F.min(turn).over(group).bitwiseXOR(order)).withColumn("last", F.max(turn).over(group).bitwiseXOR(order))
+        ends = ends if is_hot else ends.filter("center <> last")
+        return ends.select("key", "node", "center", "last", F.lit(is_hot).alias("hot"))
+
+    if hot.isEmpty():
+        both = grouped(rows, ["key"], False)
+    else:  # MOST_HOT keys at most
+        salted = rows.join(F.broadcast(hot), "key", "left_semi").withColumn("salt", F.pmod("node", F.lit(SALTS)))
+        both = grouped(rows.join(F.broadcast(hot), "key", "left_anti"), ["key"], False).unionByName(grouped(salted, ["key", "salt"], True))
+    shared = ws.table(both.distinct())
     ws.drop(hot)
     centers = shared.filter("hot").select("key", "center").distinct()
     least = centers.groupBy("key").agg(F.min("center").alias("node"))
@@ -206,19 +215,19 @@ def remaining(shared: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(k1, k2, body) of the lines that ``nodes`` (node: k1) names.
 
-    A bitmap of ``2 ** FILTER_BITS`` bits, whatever the number of nodes, keeps most other lines from the
-    shuffle; the join on the names settles the rest.
+    A bitmap that grows with their number, up to ``MOST_BITS``, keeps most other lines from the shuffle; the
+    join on the names settles the rest.
     """
-    bit = F.pmod("node", F.lit(1 << FILTER_BITS))
+    bits = min(MOST_BITS, max(LEAST_BITS, (FILTER_SHARE * nodes.count()).bit_length()))
+    bit = F.pmod("node", F.lit(1 << bits)) + 1  # a bucket's first bit is 1 after a multiple of 32768
     rows = nodes.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
-    known = np.zeros(1 << FILTER_BITS, bool)
-    for r in rows:  # bucket b has the bits from 32768 * (b - 1) + 1 on, and bucket 0 bit 0
-        bits = np.unpackbits(np.frombuffer(r.m, np.uint8), bitorder="little")
-        known[np.flatnonzero(bits) + (32768 * (r.b - 1) + 1 if r.b else 0)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(known))
+    known = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        known[4096 * (r.b - 1) : 4096 * r.b] = np.frombuffer(r.m, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).view(bool)
+        known = shared.value
         for batch in batches:
             for _, _, data, offsets in kernels.text_chunks(batch.column("text"), 1 << 18):
                 points, starts, ends, _, _ = _lines(data, offsets)
@@ -226,7 +235,8 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     continue
                 k1 = kernels.run_hashes(points, starts, ends)
                 keep = np.unique(k1, return_index=True)[1]
-                keep = keep[known[(k1[keep] & _U((1 << FILTER_BITS) - 1)).astype(np.int64)]]
+                bit = (k1[keep] & _U((1 << bits) - 1)).astype(np.int64)
+                keep = keep[(known[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
                 starts, ends = starts[keep], ends[keep]
                 if not len(starts):
                     continue
