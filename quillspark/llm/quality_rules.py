@@ -17,6 +17,8 @@ FEATURES = ("n_words", "mean_word_chars", "symbols_per_word", "bangs_per_word",
 QUANTILES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998)
 #: Labelled rows that a list is fitted on, at most; the first by hash of doc_id.
 MAX_LABELLED = 20_000
+#: Rows of the sample in a partition.
+SAMPLE_ROWS = 4_000
 
 
 def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -150,7 +152,10 @@ def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     ws = Workspace(docs.sparkSession, "rules")
-    stats = ws.table(labelled(docs.select("doc_id", "text"), labels, max_labelled).coalesce(6))
+    # Written by as many tasks as the scan has, then brought together: the sample is small, the scan isn't.
+    rows = ws.table(labelled(docs.select("doc_id", "text"), labels, max_labelled))
+    stats = ws.table(rows.repartition(max(1, -(-max_labelled // SAMPLE_ROWS)), "doc_id"))
+    ws.drop(rows)
     rules = learn(stats)
     ws.drop(stats)
     return rules
