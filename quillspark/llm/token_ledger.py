@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ class TokenLedger:
     """Totals by source, language and tokenizer version, kept as one small table of deltas for each batch."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path.rstrip("/") if path else f"{shared_dir(spark)}/ledger-{spark.sparkContext.applicationId}-{id(self)}"
+        self.spark, self.path = spark, path.rstrip("/") if path else f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
     def _fs(self, at: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -58,20 +60,56 @@ class TokenLedger:
         return True
 
     def batches(self) -> list[str]:
+        return sorted(b for b in self._names("batch=") if self.committed(b))
+
+    def _names(self, prefix: str) -> list[str]:
         fs, root = self._fs(self.path)
         found = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(b for b in (x[6:] for x in found if x.startswith("batch=")) if self.committed(b))
+        return [x[len(prefix) :] for x in found if x.startswith(prefix)]
+
+    def _snapshot(self) -> tuple[int, list[str]]:
+        """The number of the latest whole snapshot (0: none), and the batches that it has taken in."""
+        whole = [int(n) for n in self._names("snapshot=") if self._whole(f"snapshot={n}") and self._whole(f"taken={n}")]
+        if not whole:
+            return 0, []
+        return max(whole), [r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/taken={max(whole)}").collect()]
+
+    def _whole(self, name: str) -> bool:
+        fs, done = self._fs(f"{self.path}/{name}/_SUCCESS")
+        return fs.exists(done)
+
+    def compact(self) -> int:
+        """Sum the batches so far into a snapshot, which ``totals`` reads in their place; the number of batches in it.
+
+        The batches' folders stay, so a batch that a snapshot has taken in is still known as committed. A
+        snapshot counts once both its sums and its list of batches are whole.
+        """
+        number, taken = self._snapshot()
+        batches = self.batches()
+        if set(batches) == set(taken):
+            return len(taken)
+        at = number + 1
+        self._sums().write.mode("overwrite").parquet(f"{self.path}/snapshot={at}")
+        self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/taken={at}")
+        return len(batches)
+
+    def _sums(self) -> DataFrame:
+        number, taken = self._snapshot()
+        paths = [f"{self.path}/batch={b}" for b in self.batches() if b not in set(taken)] + ([f"{self.path}/snapshot={number}"] if number else [])
+        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """The sums over all whole batches; keys that have come to nothing are left out."""
-        paths = [f"{self.path}/batch={b}" for b in self.batches()]
-        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
-        return sums.filter("docs <> 0 OR tokens <> 0")
+        return self._sums().filter("docs <> 0 OR tokens <> 0")
 
 
 def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(TOKENIZERS)) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens): a row for each document and version."""
+    """(doc_id, source, lang, tokenizer, tokens): a row for each row of documents and version.
+
+    Null and empty texts count 0 tokens, null sources and languages are keys of their own, repeated rows each
+    count, other columns are ignored, and an empty table gives no row.
+    """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.array(*(F.struct(F.lit(v).alias("tokenizer"), token_count(v, F.col("text").cast("string")).alias("tokens")) for v in versions)).alias("x"))
     return rows.select("doc_id", "source", "lang", F.explode("x").alias("x")).select("doc_id", "source", "lang", "x.tokenizer", "x.tokens")
 
