@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .folds import held_out
 
 ORDERS, BITS = (1, 2, 3), 16
-#: Documents that the model is fitted on, about, chosen by hash of doc_id; fewer if there are fewer.
-MAX_TRAIN = 20_000
+#: Documents that the model is fitted on, about, chosen by hash; of each language so many at least, if it has them.
+MAX_TRAIN, LEAST_TRAIN = 20_000, 500
 CHUNK_CHARS = 1 << 19
 
 
@@ -71,22 +71,28 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
-    """Counts n-grams in the tasks; the driver gets a row for each language and bucket seen."""
+    """Counts n-grams in the tasks; the driver gets a row for each language and bucket seen.
+
+    A language's prior is its share of all training rows; its n-grams come from its part of the sample.
+    """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(~held_out() & F.col("lang").isNotNull())
-    n = rows.select("doc_id", "lang").count()
-    part = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_train / max(n, 1)) + 1)).filter("text IS NOT NULL")
+    share = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = sum(share.values())
+    part_of = F.lit(min(1.0, max_train / max(n, 1)))
+    for x, k in sorted(share.items()):
+        if k * min(1.0, max_train / n) < LEAST_TRAIN:
+            part_of = F.when(F.col("lang") == x, F.lit(min(1.0, LEAST_TRAIN / k))).otherwise(part_of)
+    part = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.ceil(1_000_000 * part_of)).filter("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lo, hi, points, at in _slices(batch.column("text").to_pylist()):
                 names, code = np.unique(np.array(langs[lo:hi], dtype=object).astype(str), return_inverse=True)
                 who = np.repeat(code, np.diff(at))
-                for x, c in zip(names.tolist(), np.bincount(code).tolist()):
+                for x in names.tolist():
                     counts.setdefault(x, np.zeros((len(ORDERS), 1 << BITS), np.int64))
-                    seen[x] = seen.get(x, 0) + c
                 for k, order in enumerate(ORDERS):
                     bucket, whole = _buckets(points, at, order)
                     for j, x in enumerate(names.tolist()):
@@ -94,18 +100,15 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
         for x, table in counts.items():
             flat = table.ravel()
             full = np.flatnonzero(flat)
-            keys = np.append(full, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(np.append(flat[full], seen[x]))], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(full), pa.string()), pa.array(full, pa.int64()), pa.array(flat[full])], ["lang", "bucket", "n"])
 
     got = part.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(got.column("lang").to_pylist()), key=lambda s: s.encode())
-    code = np.array([names.index(x) for x in got.column("lang").to_pylist()], np.int64)
-    bucket, n = got.column("bucket").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-    prior, counts = np.zeros(len(names)), np.zeros((len(ORDERS) << BITS, len(names)))
-    mark = bucket < 0
-    prior[code[mark]] = n[mark]
-    counts[bucket[~mark], code[~mark]] = n[~mark]
-    return LanguageModel(names, prior, counts.reshape(len(ORDERS), 1 << BITS, len(names)))
+    names = sorted(share, key=lambda s: s.encode())
+    number = {x: i for i, x in enumerate(names)}
+    code = np.array([number[x] for x in got.column("lang").to_pylist()], np.int64)
+    counts = np.zeros((len(ORDERS) << BITS, len(names)))
+    counts[got.column("bucket").to_numpy(), code] = got.column("n").to_numpy().astype(np.float64)
+    return LanguageModel(names, np.array([share[x] for x in names], float), counts.reshape(len(ORDERS), 1 << BITS, len(names)))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
