@@ -83,7 +83,8 @@ def render_roles(chats: DataFrame) -> DataFrame:
     """conv_id, turn, old_role, role, action, inserted, rendered for each turn, in order ``place`` of its conversation.
 
     The pieces ``rendered`` of a conversation, joined by place, are the whole legal chat. Turns go by turn
-    number (null last), then role and text; repeated turns are turns. Empty and null texts render as empty.
+    number (null last), then role and text; repeated turns are turns. Empty and null texts render as empty. A
+    text can't forge a marker: its ``<|`` is rendered as ``< |``.
     A null or unknown role costs as a relabel. A null conv_id is one conversation. Other columns are ignored.
 
     Long conversations are cut into stretches. A stretch's least costs from state to state are a min-plus
@@ -132,7 +133,7 @@ def render_roles(chats: DataFrame) -> DataFrame:
             for x in batch.to_pylist():
                 moves = repair([_code(t["role"]) for t in x["turns"]], x["was"], x["will"])
                 for i, (t, (s, q, cost, action, added)) in enumerate(zip(x["turns"], moves)):
-                    text = t["text"] or ""
+                    text = (t["text"] or "").replace("<|", "< |")
                     if action.startswith("merge"):
                         piece = f"\n{text}"
                     else:
