@@ -127,21 +127,42 @@ def near_pairs(fps: DataFrame, ws: Workspace) -> DataFrame:
     return out.distinct()
 
 
+def groups_of(prints: DataFrame, ws: Workspace) -> DataFrame:
+    """(fp, group): the smallest linked fingerprint, for each distinct fingerprint of ``prints``."""
+    fps = ws.table(prints.select("fp").distinct())
+    links = ws.table(near_pairs(fps, ws))
+    labels = connected(links.toDF("u", "v"), ws)
+    out = ws.table(fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("group")))
+    ws.drop(fps, links)
+    return out
+
+
+def _joined_ids(prints: DataFrame, groups: DataFrame, ws: Workspace) -> DataFrame:
+    """``groups`` after rows that share a doc_id have brought their fingerprints' groups together."""
+    spread = prints.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("doc_id")
+    spread = ws.table(prints.join(spread, "doc_id", "left_semi").join(groups, "fp").select("doc_id", "group").distinct())
+    if spread.isEmpty():
+        return groups
+    first = spread.groupBy("doc_id").agg(F.min("group").alias("v"))
+    up = ws.table(connected(spread.join(first, "doc_id").select(F.col("group").alias("u"), "v"), ws)).toDF("group", "higher")
+    return ws.table(groups.join(up, "group", "left").select("fp", F.coalesce("higher", "group").alias("group")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows and ties
-    keep a row each; rows of one doc_id count by all their fingerprints. A null doc_id is one id, the largest.
-    Other columns are ignored. An empty table gives an empty result.
+    keep a row each. Rows of one doc_id are one document: what any of them is linked to is reachable from all,
+    and they share a component_id. A null doc_id is one id, the largest. Other columns are ignored. An empty
+    table gives an empty result.
     """
-    spark: SparkSession = docs.sparkSession
-    ws = Workspace(spark, "simhash")
+    ws = Workspace(docs.sparkSession, "simhash")
     prints = ws.table(fingerprints(docs, width, seed))
-    reps = ws.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = ws.table(near_pairs(reps.select("fp"), ws))
-    ends = links.join(reps.withColumnRenamed("fp", "a").withColumnRenamed("rep", "u"), "a").join(reps.withColumnRenamed("fp", "b").withColumnRenamed("rep", "v"), "b")
-    labels = connected(ends.select("u", "v"), ws)
-    classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
+    groups = _joined_ids(prints, groups_of(prints, ws), ws)
+    least = ws.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(groups, "fp"))
+    smallest = least.groupBy("group").agg(F.min("rep").alias("component_id"))
+    classes = ws.table(least.select("fp", "group").join(smallest, "group").select("fp", "component_id"))
+    ws.drop_all_but(prints, classes)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(classes, "fp").select(loose(), hexed.alias("fingerprint"), loose("component_id"))
 
@@ -152,12 +173,11 @@ def first_rows(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     Groups are of fingerprints, so rows of one doc_id, null too, are in one group only if their texts are
     linked. A null doc_id is the largest.
     """
-    ws = Workspace(docs.sparkSession, "first")
-    rows = keyed(docs, ws)
-    prints = fingerprints(rows.select("doc_id", "key", "row.text"), width, seed, ("key",))
-    reps = ws.table(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("at")))
-    links = ws.table(near_pairs(reps.select("fp"), ws))
-    labels = connected(links.toDF("u", "v"), ws)
-    groups = reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("label", "fp").alias("group"))
-    first = groups.agg(F.min("at").alias("at")).select("at.doc_id", "at.key")
+    spark: SparkSession = docs.sparkSession
+    ws = Workspace(spark, "first")
+    rows = keyed(docs, Workspace(spark, "rows"))
+    prints = ws.table(fingerprints(rows.select("doc_id", "key", "row.text"), width, seed, ("key",)).groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("at")))
+    groups = prints.join(groups_of(prints, ws), "fp").groupBy("group")
+    first = ws.table(groups.agg(F.min("at").alias("at")).select("at.doc_id", "at.key"))
+    ws.drop_all_but(first)
     return rows.join(first, ["doc_id", "key"], "left_semi").select("row.*")
