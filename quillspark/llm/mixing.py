@@ -38,7 +38,7 @@ def targets(totals: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and ``carry``) for each document.
+    """doc_id, size, source_size, target, taken (and ``carry``: slim columns that tell rows of one doc_id apart) for each document.
 
     Each source's documents are dealt by ranges of a random key and sorted in each range. The sums of the
     ranges, then those within a range, give each document's first word in its source's order. A source's
@@ -49,6 +49,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed:
     count. Other columns are ignored. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "mix")
+    extra = [c for c in carry if c != "doc_id"]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     skey = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     slim = docs.select("doc_id", "source", *(c for c in carry if c not in ("doc_id", "source")), skey.alias("skey"), key.alias("key"), word_count(F.col("text")).alias("size")).withColumn("bucket", F.substring("key", 1, RANGE_DIGITS))
@@ -57,13 +58,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed:
     goals = targets(ranges.groupBy("skey", "source").agg(F.sum("words").alias("source_size")), weights, cap)
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = ranges.select("skey", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start")).join(goals, "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size", *extra).rowsBetween(Window.unboundedPreceding, -1)
     rows = slim.join(start, ["skey", "bucket"]).withColumn("first", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     head = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), head - F.col("first")))
-    extra = [c for c in carry if c != "doc_id"]
     return rows.select("doc_id", *extra, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 

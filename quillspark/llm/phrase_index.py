@@ -109,8 +109,9 @@ def candidates(index: DataFrame, words: DataFrame, window: int = 10, slop: int =
     return both.select("uid", "doc_id", "diag").distinct()
 
 
-def exact_hits(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) of rows (doc_id, text, places); a place is (item_id, diag, words)."""
+def exact_hits(rows: DataFrame, window: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, items) of rows (doc_id, text, places); a place is (item_id, diags, words). ``keys``: string columns that stay."""
+    names = ["doc_id", *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,38 +124,31 @@ def exact_hits(rows: DataFrame, window: int) -> DataFrame:
                     s, e = starts[first[i - lo] : first[i - lo + 1]].tolist(), ends[first[i - lo] : first[i - lo + 1]].tolist()
                     hit, items = np.zeros(len(s) + 1, np.int64), set()
                     for p in places[i].as_py():
-                        words, diag = p["words"], p["diag"]
+                        words = [w.encode() for w in p["words"]]
                         size = min(window, len(words))
-                        run_from = None
-                        for k in range(len(words) + 1):
-                            at = diag + k
-                            same = k < len(words) and 0 <= at < len(s) and raw[s[at] : e[at]] == words[k].encode()
-                            if same and run_from is None:
-                                run_from = at
-                            elif not same and run_from is not None:
-                                if at - run_from >= size:
-                                    hit[run_from] += 1
-                                    hit[at] -= 1
-                                    items.add(p["item_id"])
-                                run_from = None
+                        for diag in p["diags"]:
+                            run_from = None
+                            for k in range(len(words) + 1):
+                                at = diag + k
+                                same = k < len(words) and 0 <= at < len(s) and raw[s[at] : e[at]] == words[k]
+                                if same and run_from is None:
+                                    run_from = at
+                                elif not same and run_from is not None:
+                                    if at - run_from >= size:
+                                        hit[run_from] += 1
+                                        hit[at] -= 1
+                                        items.add(p["item_id"])
+                                    run_from = None
                     out_n.append(len(s))
                     out_hit.append(int((np.cumsum(hit)[:-1] > 0).sum()))
                     out_items.append(sorted(items - {None}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out_n, pa.int64()), pa.array(out_hit, pa.int64()), pa.array(out_items, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out_n, pa.int64()), pa.array(out_hit, pa.int64()), pa.array(out_items, pa.list_(pa.int64()))], [*names, "n_words", "n_hit", "items"])
 
-    return rows.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>")
+    return rows.select(*names, "text", "places").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} string" for c in keys), "n_words long, n_hit long, items array<long>"]))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Each document's words inside exact occurrences of the items' windows.
-
-    Columns doc_id, n_words, n_hit, items (their ids, sorted). Null, empty and wordless texts have no words
-    and no hits; items without words have no windows; an item of fewer words than ``window`` is one window.
-    Repeated rows of documents each give a row; repeated items count once. A null item_id is left out of
-    ``items``. Other columns are ignored. With either table empty nothing is hit.
-    """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "phrases")
+def _matched(docs: DataFrame, items: DataFrame, window: int, ws: Workspace, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The exact hits of the rows where an item may stand, the index, and the doc_ids of those rows."""
     words = ws.table(item_words(items))
     terms = words.select("term").distinct()
     vocabulary = None
@@ -163,11 +157,33 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     index = ws.table(build_index(docs, vocabulary))
     found = ws.table(candidates(index, words, window))
     texts = words.groupBy("uid").agg(F.first("item_id").alias("item_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word).alias("words"))
-    places = found.join(texts, "uid").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diag", "words")).alias("places"))
-    rows = docs.select(solid(), F.col("text").cast("string")).join(places, "doc_id")
-    hits = exact_hits(rows, window)
+    at = found.groupBy("doc_id", "uid").agg(F.collect_list("diag").alias("diags"))
+    places = at.join(texts, "uid").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diags", "words")).alias("places"))
+    rows = docs.select(solid(), *keys, F.col("text").cast("string")).join(places, "doc_id")
+    return exact_hits(rows, window, keys), index, found.select("doc_id").distinct()
+
+
+def hit_rows(docs: DataFrame, items: DataFrame, keys: tuple[str, ...] = (), window: int = 10) -> DataFrame:
+    """(doc_id, *keys) of the rows of ``docs`` with a word inside an exact occurrence of a window; a null doc_id as the largest."""
+    ws = Workspace(docs.sparkSession, "phrases")
+    hits, *_ = _matched(docs, items, window, ws, keys)
+    out = ws.table(hits.filter("n_hit > 0").select("doc_id", *keys))
+    ws.drop_all_but(out)
+    return out
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """Each document's words inside exact occurrences of the items' windows.
+
+    Columns doc_id, n_words, n_hit, items (their ids, sorted). Null, empty and wordless texts have no words
+    and no hits; items without words have no windows; an item of fewer words than ``window`` is one window.
+    Repeated rows of documents each give a row; repeated items count once. A null item_id is left out of
+    ``items``. Other columns are ignored. With either table empty nothing is hit.
+    """
+    ws = Workspace(docs.sparkSession, "phrases")
+    hits, index, found = _matched(docs, items, window, ws, ())
     sizes = index.filter("term IS NULL").select(F.explode(F.arrays_zip("docs", "at")).alias("p")).select(F.col("p.docs").alias("doc_id"), F.col("p.at").cast("long").alias("n_words"))
-    clean = sizes.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    clean = sizes.join(found, "doc_id", "left_anti")
     out = hits.unionByName(clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items")))
     return out.select(loose(), "n_words", "n_hit", "items")
 
