@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup, mixing, phrase_index, quality_rules, simhash
+from quillspark.llm.ids import keyed, loose, solid
 from quillspark.llm.workspace import Workspace
 
 
@@ -24,14 +26,20 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    hit = phrase_index.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit > 0").select("doc_id")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """Rows without a benchmark window; rows of one doc_id are judged apart."""
+    rows = keyed(docs, Workspace(spark, "rows"))
+    hit = phrase_index.hit_rows(rows.select("doc_id", "key", "row.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ("key",))
+    return rows.join(hit, ["doc_id", "key"], "left_anti").select("row.*")
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, and how many."""
-    return mixing.mix(docs, carry=[c for c in ("text", "lang", "source") if c in docs.columns]).filter("taken > 0")
+    """Documents that the mix takes words of, and how many. The mix decides on slim rows; texts are joined to what it takes."""
+    rows = keyed(docs, Workspace(spark, "rows"))
+    slim = rows.select(loose(), F.col("key").alias("row_key"), "row.source", "row.text")
+    plan = mixing.mix(slim, carry=("row_key",)).filter("taken > 0")
+    plan = Workspace(spark, "plan").table(plan.select(solid(), F.col("row_key").alias("key"), "size", "source_size", "target", "taken"))
+    carried = [F.col(f"row.{c}") for c in ("text", "lang", "source") if c in docs.columns]
+    return rows.join(plan, ["doc_id", "key"]).select(loose(), *carried, "size", "source_size", "target", "taken")
 
 
 STAGES = [
