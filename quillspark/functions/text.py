@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented letters and what they fold to.
@@ -34,6 +37,12 @@ def tokens(text: Column) -> Column:
     return F.filter(words(text), lambda x: (F.length(x) >= 2) | x.rlike("^[0-9]+$"))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    lone = r"(?<![\p{L}\p{N}_])[0-9](?![\p{L}\p{N}_])"
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}|" + lone))
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents."""
     return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
@@ -81,3 +90,15 @@ def windows(text: Column, width: int = 750, step: int = 630) -> Column:
     n = F.length(text)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s, i: F.struct(i.cast("long").alias("chunk_index"), s.cast("long").alias("start"), F.substring(text, s + 1, F.lit(width)).alias("body")))
+
+
+def strip_marks(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` decomposed and without combining marks. Spark has no normal forms, so this is an Arrow map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            bare = [None if t is None else t if t.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(bare, batch.schema.field(at).type))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a round's table to the shared checkpoint folder and read it again, which cuts its lineage."""
+    """Write a round's table to the shared checkpoint folder and read it again, which cuts its lineage.
+
+    Where spark.checkpoint.dir is unset, a session on one machine gets a temporary folder; a cluster is refused.
+    """
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/round-{uuid.uuid4().hex}"
@@ -28,7 +33,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(node, hop): nodes within so many undirected hops of the seeds (node), with the least."""
-    both = undirected(edges)
+    both = cut(undirected(edges))
     reached = seeds.select("node", F.lit(0).cast("long").alias("hop")).distinct()
     frontier = reached
     for h in range(1, hops + 1):
@@ -38,8 +43,12 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def personal_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after so many rounds over directed edges (src, dst, weight); dangling rank goes back to the seeds."""
+def personal_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float | None = 1e-5) -> DataFrame:
+    """(node, rank) over directed edges (src, dst, weight); dangling rank goes back to the seeds.
+
+    Ends when the ranks' changes in a round sum to less than ``tolerance``, or after ``rounds`` rounds.
+    """
+    edges = cut(edges.select("src", "dst", "weight"))
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     flow = cut(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     n = seeds.select("node").distinct().agg(F.count("*").alias("n"))
@@ -51,8 +60,13 @@ def personal_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 5, dampi
         here = base.join(rank, "node")
         lost = here.agg(F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = rank.join(flow, rank["node"] == flow["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = cut(base.join(got, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) * F.col("s") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("s"))).alias("rank")))
-    return rank
+        new = here.join(got, "node", "left").crossJoin(F.broadcast(lost))  # lost is one row
+        after = (1 - damping) * F.col("s") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("s"))
+        rank = cut(new.select("node", after.alias("rank"), F.abs(after - F.col("rank")).alias("change")))
+        if tolerance is not None and (rank.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+            break
+        rank = rank.select("node", "rank")
+    return rank.select("node", "rank")
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -74,6 +88,50 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int | None = None
     return best
 
 
+def shortest_routes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(start, node, cost, path): the cheapest route from each of the seeds (node), the first path in order among equals.
+
+    A route's path is as long as its hops. Closed edges are left out.
+    """
+    usable = edges.filter("status IS DISTINCT FROM 'closed'") if "status" in edges.columns else edges
+    usable = cut(usable.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    best = changed = seeds.select(F.col("node").alias("start"), "node", F.struct(F.lit(0.0).alias("cost"), F.array("node").alias("path")).alias("route")).distinct()
+    while True:
+        on = F.struct((F.col("route.cost") + F.col("weight")).alias("cost"), F.array_append("route.path", F.col("dst")).alias("path"))
+        offers = changed.join(usable, changed["node"] == usable["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(on).alias("offer"))
+        changed = cut(offers.join(best, ["start", "node"], "left").filter("route IS NULL OR offer < route").select("start", "node", F.col("offer").alias("route")))
+        if changed.isEmpty():
+            return best.select("start", "node", "route.cost", "route.path")
+        best = cut(best.unionByName(changed).groupBy("start", "node").agg(F.min("route").alias("route")))
+
+
+def multi_stop(edges: DataFrame, stops: list, opens: DataFrame | None = None) -> DataFrame:
+    """One row (path, cost, all_open): the cheapest legs between stops in turn, joined; no row if a leg has no route.
+
+    ``opens`` (node, is_open) says which stops are open; all_open is over the ends of the legs.
+    """
+    spark = edges.sparkSession
+    legs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(stops, stops[1:]))], f"leg int, start {edges.schema['src'].dataType.simpleString()}, node {edges.schema['src'].dataType.simpleString()}")
+    found = legs.join(shortest_routes(edges, legs.select(F.col("start").alias("node")).distinct()), ["start", "node"])
+    if opens is not None:
+        found = found.join(opens, "node", "left")
+    is_open = F.coalesce("is_open", F.lit(True)) if opens is not None else F.lit(True)
+    tail = F.when(F.col("leg") == 0, F.col("path")).otherwise(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(1))))
+    whole = found.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("leg", tail.alias("part")))).alias("parts"), F.sum("cost").alias("cost"), F.min(is_open).alias("all_open"))
+    return whole.filter(F.col("n") == len(stops) - 1).select(F.flatten(F.transform("parts", lambda p: p.part)).alias("path"), "cost", "all_open")
+
+
+def edge_cost(weight, roofed, status, crowd, attention, weather: str):
+    """Cost of an edge: weight x weather x (1 + 2.5 crowd) / attention; what is closed or under repair costs 999,999."""
+    exposed = F.when(~F.coalesce(roofed, F.lit(False)), 5.0).otherwise(1.0) if weather in ("sunny", "rainy") else F.lit(1.0)
+    return F.when(status.isin("repairing", "closed"), 999_999.0).otherwise(weight * exposed * (1 + 2.5 * crowd) / F.greatest(attention, F.lit(0.2)))
+
+
+def edge_attention(similarity, roofed, status):
+    """Attention of an edge from its ends' cosine: (cosine + 1) / 2, times 1.35 on open roofed ways, 0.15 at least."""
+    return F.round(F.greatest(F.lit(0.15), (similarity + 1) / 2 * F.when(roofed & (status == "open"), 1.35).otherwise(1.0)), 4)
+
+
 def relation_weight(edges: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
     """Edges with the weight of their relation from a rule table (relation, w)."""
     return edges.join(weights, "relation", "left").withColumn("weight", F.coalesce("w", F.lit(default))).drop("w")
@@ -92,6 +150,33 @@ def weighted_bfs(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0
     return totals.groupBy("node").agg(F.sum("score").alias("score"))
 
 
+def text_graph(docs: DataFrame, did: str, value: str, reference: str, prefix: str) -> DataFrame:
+    """(src, relation, dst), each once: documents to the values that a pattern finds in them, and to the documents that they refer to by number.
+
+    ``reference`` has one group, the number. A document's reference to itself is none.
+    """
+    name = F.concat(F.lit(prefix), F.col(did).cast("string")).alias("src")
+    values = docs.select(name, F.lit("specifies").alias("relation"), F.explode(F.regexp_extract_all("text", F.lit(value), F.lit(0))).alias("dst"))
+    links = docs.select(name, F.lit("references").alias("relation"), F.explode(F.regexp_extract_all("text", F.lit(reference), F.lit(1))).alias("to"))
+    links = links.select("src", "relation", F.concat(F.lit(prefix), F.col("to")).alias("dst")).filter("src <> dst")
+    return values.unionByName(links).distinct()
+
+
+def semantic_edges(entities: DataFrame, k: int, scale: float, least: float = 1e-9) -> DataFrame:
+    """(entity, cluster, w): the k entities (entity, cluster, embedding) nearest to each cluster's mean, w = exp(-d^2 / scale) if over ``least``.
+
+    The clusters are few and given; their means go to every task as one row.
+    """
+    parts = entities.select("cluster", F.posexplode("embedding").alias("i", "x")).groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = parts.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p.m).alias("mean"))
+    one = means.agg(F.collect_list(F.struct("cluster", "mean")).alias("means"))
+    d2 = F.aggregate(F.zip_with("embedding", F.col("c.mean"), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+    near = entities.select("entity", "embedding").crossJoin(F.broadcast(one)).select("entity", "embedding", F.explode("means").alias("c")).select("entity", F.col("c.cluster").alias("cluster"), F.round(d2, 9).alias("d2"))
+    w = Window.partitionBy("cluster").orderBy("d2", "entity")
+    best = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select("entity", "cluster", F.exp(-F.col("d2") / scale).alias("w")).filter(F.col("w") > least)
+
+
 def incidence(pairs: DataFrame) -> DataFrame:
     """Distinct (entity, chunk, w) of weight 1."""
     return pairs.select("entity", "chunk").distinct().withColumn("w", F.lit(1.0))

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import jaccard, tokens
+from quillspark.functions.text import jaccard, token_count, tokens
+
+from .graphs import cut
 
 
 def top_k(hits: DataFrame, by: str, item: str, k: int, score: str = "score") -> DataFrame:
@@ -34,11 +36,25 @@ def postings(docs: DataFrame, did: str, terms: DataFrame | None = None) -> DataF
     return rows.groupBy(did, "term", "n").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best documents of each query by BM25; query terms count as often as they occur."""
+def term_index(docs: DataFrame, did: str) -> DataFrame:
+    """All postings (did, term, n, tf), written once for the arms that read them."""
+    return cut(postings(docs, did))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10, k1: float = 1.5, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each query by BM25; query terms count as often as they occur.
+
+    Postings come from ``index`` if there is one; else those of the queries' terms are made and written, as
+    both frequencies and scores read them.
+    """
     asked = query_terms(queries, qid)
-    hits = postings(docs, did, asked)
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_n"))
+    if index is None:
+        hits = cut(postings(docs, did, asked))
+        stats = docs.agg(F.count("*").alias("n_docs"), F.avg(token_count(F.col("text"))).alias("avg_n"))
+    else:
+        hits = index.join(asked.select("term").distinct(), "term", "left_semi")
+        sizes = docs.agg(F.count("*").alias("n_docs")).crossJoin(index.agg(F.sum("tf").alias("n_terms")))  # a row each
+        stats = sizes.select("n_docs", (F.coalesce("n_terms", F.lit(0)) / F.col("n_docs")).alias("avg_n"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("avg_n")))
@@ -47,49 +63,61 @@ def bm25(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10, k
     return top_k(scored.filter("score > 0"), qid, did, k)
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10) -> DataFrame:
+def tfidf(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10, index: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query by the cosine of smoothed TF-IDF vectors."""
-    rows = postings(docs, did)
+    rows = term_index(docs, did) if index is None else index
     n_docs = docs.agg(F.count("*").alias("n_docs"))
     df = rows.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weighted = rows.join(df, "term").select(did, "term", (F.col("tf") / F.col("n") * F.col("idf")).alias("w"))
     norms = weighted.groupBy(did).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = query_terms(queries, qid).join(df, "term")
     length = queries.select(qid, F.size(tokens(F.col("text"))).alias("n"))
-    asked = asked.join(length, qid).select(qid, "term", (F.col("times") / F.col("n") * F.col("idf")).alias("v"))
+    asked = asked.join(length, qid).select(qid, "term", (F.col("times") / F.col("n") * F.col("idf")).alias("v"), "idf")
     q_norms = asked.groupBy(qid).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("q_norm"))
-    dots = asked.join(weighted, "term").groupBy(qid, did).agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    # The asked terms bring their weights to the postings, so the dot products need no weights of other terms.
+    dots = rows.join(asked, "term").groupBy(qid, did).agg(F.sum(F.col("v") * (F.col("tf") / F.col("n") * F.col("idf"))).alias("dot"))
     scored = dots.join(norms, did).join(q_norms, qid).select(qid, did, F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
     return top_k(scored, qid, did, k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k vectors (vec_id, embedding) of greatest dot product with each query.
+#: Queries and vectors of a cell of the dense search.
+CELL_QUERIES, CELL_VECTORS = 1024, 65_536
+
 
-    The queries, a stated set, go out in blocks; each task keeps the k best of its rows for each query, so
-    only those are shuffled.
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k vectors (vec_id, embedding) of greatest dot product with each query (query_id, embedding).
+
+    Blocks of queries meet slices of vectors in cells of bounded size, a task each; a cell gives its k best
+    for each of its queries, so only those go on. Neither table comes to the driver.
     """
-    out = None
-    asked = queries.select("query_id", "embedding").toArrow()
-    for lo in range(0, max(asked.num_rows, 1), block):
-        part = asked.slice(lo, block)
-        ids = part.column("query_id").to_numpy()
-        q = np.array(part.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = np.array(batch.column("embedding").to_pylist(), np.float64)
-                if not len(v) or not len(q):
-                    continue
-                names = batch.column("vec_id").to_numpy()
-                scores = np.round(q @ v.T, 6)
+    n_queries, n_vectors = queries.count(), vectors.count()
+    blocks, slices = max(1, -(-n_queries // CELL_QUERIES)), max(1, -(-n_vectors // CELL_VECTORS))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", "embedding", number("query_id", blocks).alias("block"), every(slices).alias("slice"))
+    known = vectors.select("vec_id", "embedding", number("vec_id", slices).alias("slice"), every(blocks).alias("block"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        rows = table.column("embedding").combine_chunks()
+        return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+    def best_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        who, ids = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+        found: list[tuple] = []
+        if len(who) and len(ids):
+            q, v = matrix(left), matrix(right)
+            for lo in range(0, len(who), 128):
+                scores = np.round(q[lo : lo + 128] @ v.T, 6)
+                least = -np.partition(-scores, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
                 for i, row in enumerate(scores):
-                    best = np.lexsort((names, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(names[best]), pa.array(row[best])], ["query_id", "vec_id", "score"])
-
-        hits = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-        out = hits if out is None else out.unionByName(hits)
-    return top_k(out, "query_id", "vec_id", k)
+                    at = np.flatnonzero(row >= least[i])
+                    at = at[np.lexsort((ids[at], -row[at]))[:k]]
+                    found.append((np.full(len(at), who[lo + i]), ids[at], row[at]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    hits = asked.groupBy("block", "slice").cogroup(known.groupBy("block", "slice")).applyInArrow(best_of, "query_id long, vec_id long, score double")
+    return top_k(hits, "query_id", "vec_id", k)
 
 
 def dot(a, b):

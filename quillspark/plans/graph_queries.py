@@ -44,7 +44,7 @@ n AS MATERIALIZED (SELECT node, CASE WHEN node = 'c1' THEN 1.0 ELSE 0.0 END::DOU
 r0 AS (SELECT node, s AS rank FROM n){_rounds_sql(4)} SELECT node, round(rank, 9) AS rank FROM r4 WHERE round(rank, 9) > 0""")
 def gr5_ppr(orders, lineitem):
     """Four rounds of personalised PageRank from one customer."""
-    return G.personal_pagerank(_edges(orders, lineitem), _seed(orders), 4).select("node", F.round("rank", 9).alias("rank")).filter("rank > 0")
+    return G.personal_pagerank(_edges(orders, lineitem), _seed(orders), 4, tolerance=None).select("node", F.round("rank", 9).alias("rank")).filter("rank > 0")
 
 
 #: Nations in a ring, each also linked to the one seven on; every third chord is closed.

@@ -42,6 +42,12 @@ ds AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.
 dm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ds)"""
 
 
+def _arms(docs, bench, k=20):
+    """The BM25 and the TF-IDF arm over one written index."""
+    index = R.term_index(docs, "doc_id")
+    return R.bm25(docs, bench, "doc_id", "item_id", k, index=index), R.tfidf(docs, bench, "doc_id", "item_id", k, index=index)
+
+
 @query("documents", "benchmark", sql=f"WITH {BM25_CTE} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 10")
 def v4_bm25_topk(docs, bench):
     return R.bm25(docs, bench, "doc_id", "item_id", 10)
@@ -57,7 +63,7 @@ h AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT ite
 s AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM h GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def v6_rrf(docs, bench):
-    return R.reciprocal_rank_fusion([R.bm25(docs, bench, "doc_id", "item_id", 20), R.tfidf(docs, bench, "doc_id", "item_id", 20)], "item_id", "doc_id")
+    return R.reciprocal_rank_fusion(list(_arms(docs, bench)), "item_id", "doc_id")
 
 
 @query("documents", "benchmark", sql=f"""WITH {BM25_CTE}, {TFIDF_CTE},
@@ -65,7 +71,8 @@ n AS (SELECT item_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w TH
       UNION ALL SELECT item_id, doc_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END FROM bm WHERE rank <= 20 WINDOW w AS (PARTITION BY item_id))
 SELECT item_id, doc_id, round(sum(0.5 * s), 6) AS score FROM n GROUP BY ALL""")
 def v8_weighted_fusion(docs, bench):
-    return R.weighted_fusion(R.tfidf(docs, bench, "doc_id", "item_id", 20), R.bm25(docs, bench, "doc_id", "item_id", 20), "item_id", "doc_id")
+    lexical, cosine = _arms(docs, bench)
+    return R.weighted_fusion(cosine, lexical, "item_id", "doc_id")
 
 
 def _dense(emb, k=10):
