@@ -14,14 +14,12 @@ _ENDS = re.compile(r"(?<=[.!?])\s+")
 
 
 def hard_split(text: str, most: int) -> list[str]:
-    """Pieces of at most ``most`` characters, cut at the last blank of each if that is past its middle."""
-    out = []
+    """Pieces of at most ``most`` characters, each cut at the last blank past its middle or right at its end, else at its middle."""
+    out, middle = [], most // 2
     while len(text) > most:
-        cut = max(text.rfind(" ", 0, most), text.rfind("\n", 0, most))
-        if cut <= most // 2:
-            cut = most
+        cut = max(text.rfind(" ", middle + 1, most + 1), text.rfind("\n", middle + 1, most + 1), middle)
         out.append(text[:cut].strip())
-        text = text[cut:]
+        text = text[cut:].strip()
     return [x for x in [*out, text.strip()] if x]
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -11,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from quillspark.functions.text import metric_form
 
@@ -52,14 +51,13 @@ def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio(), 4) for x, y in zip(a, b)])
 
 
-def pseudonym(salt: str):
-    """A keyed hash of an id: ``u_`` and 16 hex digits."""
-
-    @F.pandas_udf(StringType())
-    def run(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: "u_" + hmac.new(salt.encode(), str(x).encode(), hashlib.sha256).hexdigest()[:16])
-
-    return run
+def pseudonym(name: Column, salt: str) -> Column:
+    """A keyed hash (HMAC-SHA256) of a name: ``u_`` and 16 hex digits; two plain hashes over the padded key."""
+    key = salt.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytearray(x ^ 0x36 for x in key)), name.cast("string").cast("binary")), 256)
+    outer = F.sha2(F.concat(F.lit(bytearray(x ^ 0x5C for x in key)), F.unhex(inner)), 256)
+    return F.concat(F.lit("u_"), F.substring(outer, 1, 16))
 
 
 def composite(judge: Column, rouge: Column, keywords: Column, similar: Column, no_answer: Column, length: Column) -> Column:

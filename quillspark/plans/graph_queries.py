@@ -63,11 +63,17 @@ def gr8_weighted_path(nation):
     return G.shortest_paths(ring.unionByName(chords), nation.sparkSession.createDataFrame([(0,)], "node int"))
 
 
-@query("nation")
+@query("nation", sql="""WITH e AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 2) % 25, 0.5 FROM nation),
+o1 AS (SELECT dst AS node, weight * 0.7 AS offer FROM e WHERE src = 0),
+f1 AS (SELECT node, max(offer) AS carried FROM o1 WHERE node <> 0 GROUP BY node),
+o2 AS (SELECT dst AS node, carried * weight * 0.7 * 0.7 AS offer FROM f1 JOIN e ON src = node),
+f2 AS (SELECT node, max(offer) AS carried FROM o2 WHERE node <> 0 AND node NOT IN (SELECT node FROM f1) GROUP BY node),
+o3 AS (SELECT dst AS node, carried * weight * 0.7 * 0.7 * 0.7 AS offer FROM f2 JOIN e ON src = node)
+SELECT node::INTEGER AS node, round(sum(offer), 9) AS score FROM (SELECT 0 AS node, 0.0::DOUBLE AS offer UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM o3) GROUP BY node""")
 def gr6_weighted_bfs(nation):
     k = F.col("n_nationkey")
     edges = nation.select(k.alias("src"), ((k + 1) % 25).alias("dst"), F.lit(1.0).alias("weight")).unionByName(nation.select(k.alias("src"), ((k + 2) % 25).alias("dst"), F.lit(0.5).alias("weight")))
-    return G.weighted_bfs(edges, nation.sparkSession.createDataFrame([(0,)], "node int"), 3)
+    return G.weighted_bfs(edges, nation.sparkSession.createDataFrame([(0,)], "node int"), 3).withColumn("score", F.round("score", 9))
 
 
 @query("nation", "region", sql="SELECT r_name AS name, n_name AS neighbour FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT n_name, r_name FROM region JOIN nation ON n_regionkey = r_regionkey")
