@@ -98,9 +98,10 @@ def learn(stats: DataFrame, max_rules: int = 8, max_conditions: int = 3, least_c
     Sequential covering: a rule grows by the condition of most information gain on the growing part of what
     no rule covers yet, loses last conditions while that doesn't lower its worth on the pruning part, and is
     kept if its precision there is at least ``precision``. Every count is one grouped aggregate; the driver
-    sees a row for each feature and bin.
+    sees a row for each feature and bin. The thresholds are exact quantiles of the bounded sample, so a rerun
+    learns the same list however the sample was dealt.
     """
-    edges_row = stats.agg(*(F.percentile_approx(F.col(f).cast("double"), list(QUANTILES), 10_000).alias(f) for f in FEATURES)).first()
+    edges_row = stats.agg(*(F.percentile(F.col(f).cast("double"), list(QUANTILES)).alias(f) for f in FEATURES)).first()
     edges = {f: sorted(set(edges_row[f] or [])) for f in FEATURES}
     bins = [F.struct(F.lit(f).alias("f"), sum((F.when(F.col(f) > e, 1).otherwise(0) for e in edges[f][1:]), F.when(F.col(f) > edges[f][0], 1).otherwise(0)).alias("b")) for f in FEATURES if edges[f]]
     rules: list[Rule] = []
