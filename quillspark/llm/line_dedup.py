@@ -355,7 +355,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     row = F.col("row").withField("text", rest)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(rest).cast(docs.schema["n_chars"].dataType))
-    out = packed.join(gone, ["doc_id", "key"], "left").select(F.when(F.col("dropped").isNull(), F.col("row")).otherwise(row).alias("row"))
+    # Keys of rows grow with the table: they are joined by a shuffle at every size, never sent to all tasks.
+    out = packed.join(gone.hint("merge"), ["doc_id", "key"], "left").select(F.when(F.col("dropped").isNull(), F.col("row")).otherwise(row).alias("row"))
     return out.select("row.*")
 
 

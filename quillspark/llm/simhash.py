@@ -180,4 +180,5 @@ def first_rows(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     groups = prints.join(groups_of(prints, ws), "fp").groupBy("group")
     first = ws.table(groups.agg(F.min("at").alias("at")).select("at.doc_id", "at.key"))
     ws.drop_all_but(first)
-    return rows.join(first, ["doc_id", "key"], "left_semi").select("row.*")
+    # As many keys as groups, so joined by a shuffle at every size.
+    return rows.join(first.hint("merge"), ["doc_id", "key"], "left_semi").select("row.*")
