@@ -39,7 +39,8 @@ def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(slim, carry=("row_key",)).filter("taken > 0")
     plan = Workspace(spark, "plan").table(plan.select(solid(), F.col("row_key").alias("key"), "size", "source_size", "target", "taken"))
     carried = [F.col(f"row.{c}") for c in ("text", "lang", "source") if c in docs.columns]
-    return rows.join(plan, ["doc_id", "key"]).select(loose(), *carried, "size", "source_size", "target", "taken")
+    # A row of the plan for each document kept, so joined by a shuffle at every size.
+    return rows.join(plan.hint("merge"), ["doc_id", "key"]).select(loose(), *carried, "size", "source_size", "target", "taken")
 
 
 STAGES = [
