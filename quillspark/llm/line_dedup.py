@@ -159,17 +159,21 @@ def candidates(lines: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     order = F.col("key").bitwiseAND(3) * F.lit(((1 << 63) - 1) // 3)
     turn = F.col("node").bitwiseXOR(order)
 
-    def grouped(rows: DataFrame, by: list[str], is_hot: bool) -> DataFrame:
-        group = Window.partitionBy(*by)
-        ends = rows.withColumn("center", F.min(turn).over(group).bitwiseXOR(order)).withColumn("last", F.max(turn).over(group).bitwiseXOR(order))
-        ends = ends if is_hot else ends.filter("center <> last")
-        return ends.select("key", "node", "center", "last", F.lit(is_hot).alias("hot"))
+    def shaped(rows: DataFrame, is_hot: bool) -> DataFrame:
+        return rows.select("key", "node", F.col("least").bitwiseXOR(order).alias("center"), F.col("most").bitwiseXOR(order).alias("last"), F.lit(is_hot).alias("hot"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Lines of the keys that two lines have. Most keys have one, so a hashed count finds the others and no key is sorted."""
+        rows = rows.repartition("key")
+        ends = rows.groupBy("key").agg(F.min(turn).alias("least"), F.max(turn).alias("most")).filter("least <> most")
+        return shaped(rows.join(ends.hint("shuffle_hash"), "key"), False)
 
     if hot.isEmpty():
-        both = grouped(rows, ["key"], False)
+        both = met(rows)
     else:  # MOST_HOT keys at most
-        salted = rows.join(F.broadcast(hot), "key", "left_semi").withColumn("salt", F.pmod("node", F.lit(SALTS)))
-        both = grouped(rows.join(F.broadcast(hot), "key", "left_anti"), ["key"], False).unionByName(grouped(salted, ["key", "salt"], True))
+        group = Window.partitionBy("key", F.pmod("node", F.lit(SALTS)))
+        salted = rows.join(F.broadcast(hot), "key", "left_semi").select("key", "node", F.min(turn).over(group).alias("least"), F.max(turn).over(group).alias("most"))
+        both = met(rows.join(F.broadcast(hot), "key", "left_anti")).unionByName(shaped(salted, True))
     shared = ws.table(both.distinct())
     ws.drop(hot)
     centers = shared.filter("hot").select("key", "center").distinct()
@@ -334,7 +338,9 @@ def dropped_lines(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY
     """
     lines, classes = line_classes(rows, ws, similarity)
     place = ["doc_id", "key", "line"]
-    firsts = ws.table(lines.groupBy("node").agg(F.min(F.struct(*place)).alias("at")))
+    # Grouped by two numbers, not by their struct, which Spark sorts far slower.
+    firsts = lines.groupBy(F.col("node.k1"), F.col("node.k2")).agg(F.min(F.struct(*place)).alias("at"))
+    firsts = ws.table(firsts.select(F.struct("k1", "k2").alias("node"), "at"))
     labelled = ws.table(firsts.join(classes, "node").select("label", "at"))
     kept = labelled.groupBy("label").agg(F.min("at").alias("at"))
     # A line goes if it isn't the first of its text, or if that isn't the first of its class.
