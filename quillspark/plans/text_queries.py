@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -130,6 +130,34 @@ def f3_injection_scan(docs):
     return docs.select("doc_id", rule.alias("rule_id"))
 
 
+#: Ordered signs, on the folded text, of an answer that isn't drawn from its context.
+MARKERS = (
+    r"theo\s+(toi|minh)\s+(biet|nghi|hieu|suy\s*nghi|ung\s*doan)",
+    r"toi\s+(nghi|doan|tuong|cho\s+rang|uoc\s+tinh)\b",
+    r"\bi\s+(think|believe|guess|assume|suppose|imagine)\b",
+    r"(?s)\b(probably|likely|perhaps|maybe|possibly)\b.{0,20}\b(is|are|was|were|will)\b",
+    r"i['`]m\s+not\s+(sure|certain|100%|fully)",
+    r"\b(co\s*le\s*la|duong\s*nhu\s*la|co\s*the\s*la)\b",
+    r"khong\s*chinh\s*xac\s*nhung",
+    r"\b(as\s+far\s+as\s+i\s+know|to\s+my\s+knowledge|i\s+recall)\b",
+    r"(based\s+on\s+my\s+training|my\s+knowledge\s+cutoff)",
+    r"toi\s+khong\s+co\s+thong\s+tin\s+chinh\s+xac",
+)
+_MARKED = ", ".join(f"nullif(left(regexp_extract(folded, '{p}', 0), 80), '')" for p in (m.replace("'", "''") for m in MARKERS))
+
+
+def first_marker(text: Column) -> Column:
+    """What the first of ``MARKERS`` to be found matches, 80 characters at most; null if none is, or for a null text."""
+    folded = T.fold(text)
+    return F.coalesce(*(F.nullif(F.left(F.regexp_extract(folded, p, 0), F.lit(80)), F.lit("")) for p in MARKERS))
+
+
+@query("conversations", sql=f"SELECT conv_id, turn, role, coalesce({_MARKED}) AS marker FROM (SELECT *, {FOLD_SQL.format('text')} AS folded FROM conversations)")
+def f5_marker_scan(chats):
+    """The first sign of a made-up answer in every turn."""
+    return chats.select("conv_id", "turn", "role", first_marker(F.col("text")).alias("marker"))
+
+
 @query("conversations", sql=f"SELECT conv_id, turn, CASE WHEN length(text) > 1500 THEN 'block' WHEN regexp_matches({FOLD_SQL.format('text')}, 'worthless|stupid') THEN 'warn' ELSE 'allow' END AS action FROM conversations")
 def f4_input_guard(chats):
     return chats.select("conv_id", "turn", F.when(F.length("text") > 1500, "block").when(T.fold(F.col("text")).rlike("worthless|stupid"), "warn").otherwise("allow").alias("action"))

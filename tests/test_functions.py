@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import scores as S
 from quillspark.functions import text as T
 from quillspark.operators import chunking, evaluation, graphs, retrieval, state
+from quillspark.plans.text_queries import first_marker
 from quillspark.streaming import visits
 
 
@@ -108,3 +109,20 @@ def test_stream_of_visits_equals_batch(spark, tmp_path, parts):
     assert sum(v for v, _ in seen.values()) > 0
     if len({(r[0], r[1]) for r in rows}) == len(rows):  # no ties in time
         assert seen == want
+
+
+def test_first_marker(spark):
+    """The first rule in order counts, not the first place in the text; nulls, long matches and clean texts."""
+    rows = [
+        (0, "As far as I know, I think so"),
+        (1, "Theo tôi nghĩ là vậy"),
+        (2, "It is PROBABLY\nwhat they are"),
+        (3, "I'm not   sure"),
+        (4, "The maybe of it"),
+        (5, None),
+        (6, ""),
+        (7, "my" + " " * 90 + "knowledge cutoff"),
+    ]
+    got = spark.createDataFrame(rows, "i int, text string").select("i", first_marker(F.col("text")).alias("m")).collect()
+    want = {0: "i think", 1: "theo toi nghi", 2: "probably\nwhat they are", 3: "i'm not   sure", 4: None, 5: None, 6: None, 7: "my" + " " * 78}
+    assert {r.i: r.m for r in got} == want
