@@ -194,3 +194,18 @@ def diffuse(h: DataFrame, start: DataFrame, gates: DataFrame, rounds: int = 3, l
         a = cut(h.join(chunks, "chunk").groupBy("entity").agg(F.sum(F.col("w") * F.col("x")).alias("a")).filter(F.col("a") >= least))
         total = total.unionByName(a)
     return total.groupBy("entity").agg(F.sum("a").alias("w"))
+
+
+def topic_scores(hits: DataFrame, members: DataFrame, weights: DataFrame, clusters: DataFrame, by_entity: float = 0.3, by_cluster: float = 0.2) -> DataFrame:
+    """``hits`` (chunk, score) with their scores raised by the activation of their entities and of those entities' clusters.
+
+    ``members`` is (entity, chunk), ``weights`` (entity, w), ``clusters`` (entity, cluster). An entity that has
+    no weight counts 0, in its cluster's mean too. A chunk counts each of its clusters once. A chunk without
+    entities keeps its score.
+    """
+    members = members.select("entity", "chunk").distinct()
+    entity = members.join(weights, "entity").groupBy("chunk").agg(F.sum(F.log1p("w")).alias("entity_term"))
+    means = clusters.join(weights, "entity", "left").groupBy("cluster").agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("mean"))
+    topic = members.join(clusters, "entity").select("chunk", "cluster").distinct().join(means, "cluster").groupBy("chunk").agg(F.log1p(F.sum("mean")).alias("cluster_term"))
+    raised = F.col("score") + by_entity * F.coalesce("entity_term", F.lit(0.0)) + by_cluster * F.coalesce("cluster_term", F.lit(0.0))
+    return hits.join(entity, "chunk", "left").join(topic, "chunk", "left").select("chunk", raised.alias("score"))

@@ -155,3 +155,21 @@ def gr21_topic_score(emb):
     gates = h.select("chunk").distinct().withColumn("gate", 0.5 / (1 + F.col("chunk")))
     active = G.diffuse(h, emb.filter("vec_id < 5").select(F.col("vec_id").alias("entity"), F.lit(1.0).alias("a")), gates, 2).withColumnRenamed("w", "act")
     return h.join(active, "entity").groupBy("chunk").agg(F.round(1.0 + 0.3 * F.sum(F.log1p("act")), 6).alias("score"))
+
+
+@query(
+    "embeddings",
+    sql=f"""WITH {HYPER}{_diffusion_sql(2)}, t AS (SELECT entity, sum(a) AS w FROM s GROUP BY entity),
+e AS (SELECT chunk, sum(ln(1 + t.w)) AS x FROM (SELECT DISTINCT entity, chunk FROM h) JOIN t USING (entity) GROUP BY chunk),
+m AS (SELECT label, avg(coalesce(t.w, 0)) AS mean FROM embeddings LEFT JOIN t ON t.entity = vec_id GROUP BY label),
+k AS (SELECT chunk, ln(1 + sum(mean)) AS x FROM (SELECT DISTINCT vec_id % 50 AS chunk, label FROM embeddings) JOIN m USING (label) GROUP BY chunk)
+SELECT c.chunk, round(1.0 + 0.3 * coalesce(e.x, 0) + 0.2 * coalesce(k.x, 0), 6) AS score FROM (SELECT DISTINCT chunk FROM h) c LEFT JOIN e USING (chunk) LEFT JOIN k USING (chunk)""",
+)
+def gr21_topic_score_whole(emb):
+    """Every chunk scored anew by the activation of its entities and the mean activation of their clusters."""
+    h = emb.select(F.col("vec_id").alias("entity"), (F.col("vec_id") % 50).alias("chunk"), (1.0 + F.col("label") / 10.0).alias("w"))
+    gates = h.select("chunk").distinct().withColumn("gate", 0.5 / (1 + F.col("chunk")))
+    weights = G.diffuse(h, emb.filter("vec_id < 5").select(F.col("vec_id").alias("entity"), F.lit(1.0).alias("a")), gates, 2)
+    hits = h.select("chunk").distinct().withColumn("score", F.lit(1.0))
+    scored = G.topic_scores(hits, h, weights, emb.select(F.col("vec_id").alias("entity"), F.col("label").alias("cluster")))
+    return scored.select("chunk", F.round("score", 6).alias("score"))

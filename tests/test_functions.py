@@ -1,5 +1,6 @@
 """Edges of the scalar functions, chunk packing, fusion and streams."""
 
+import math
 import random
 
 import pytest
@@ -126,3 +127,15 @@ def test_first_marker(spark):
     got = spark.createDataFrame(rows, "i int, text string").select("i", first_marker(F.col("text")).alias("m")).collect()
     want = {0: "i think", 1: "theo toi nghi", 2: "probably\nwhat they are", 3: "i'm not   sure", 4: None, 5: None, 6: None, 7: "my" + " " * 78}
     assert {r.i: r.m for r in got} == want
+
+
+def test_topic_scores(spark):
+    """Entities without weight, clusters counted once a chunk, a chunk without entities."""
+    weights, clusters = {1: 2.0, 2: 0.5}, {1: 7, 2: 7, 3: 8, 4: 7}
+    members = [(1, 10), (2, 10), (3, 10), (4, 11), (3, 12), (1, 10)]
+    frames = [([(c, 1.5) for c in (10, 11, 12, 13)], "chunk int, score double"), (members, "entity int, chunk int"), (list(weights.items()), "entity int, w double"), (list(clusters.items()), "entity int, cluster int")]
+    got = {r.chunk: r.score for r in graphs.topic_scores(*(spark.createDataFrame(*f) for f in frames)).collect()}
+    for chunk in (10, 11, 12, 13):
+        own = {e for e, c in members if c == chunk}
+        means = [sum(weights.get(e, 0.0) for e in clusters if clusters[e] == k) / sum(1 for e in clusters if clusters[e] == k) for k in {clusters[e] for e in own}]
+        assert got[chunk] == pytest.approx(1.5 + 0.3 * sum(math.log1p(weights.get(e, 0.0)) for e in own) + 0.2 * math.log1p(sum(means)))
