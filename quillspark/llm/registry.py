@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_repair, language_id, line_dedup, mixing, phrase_index, quality_classifier, quality_rules, simhash, token_ledger, toxicity
+from . import chat_repair, hard_negatives, language_id, line_dedup, mixing, phrase_index, quality_classifier, quality_rules, simhash, token_ledger, topk_search, toxicity, vector_codes
 from .workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, quality_classifier.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), hard_negatives.relabelled(), F.col("vec_id") % 100 == 0)
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_line_dedup, op4_token_ledger, op5_toxicity, op6_language_id, op7_decontamination, op8_chat_repair, op9_simhash, op10_quality)}
+    texts = (op1_quality_rules, op2_mixing, op3_line_dedup, op4_token_ledger, op5_toxicity, op6_language_id, op7_decontamination, op8_chat_repair, op9_simhash, op10_quality)
+    return {f.__name__: f for f in (*texts, op11_vector_codes, op12_hard_negatives, op13_topk_search)}
 
 
 DECONTAMINATION_SQL = r"""
@@ -85,4 +98,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.MIX_SQL, "op4_token_ledger": token_ledger.LEDGER_SQL, "op7_decontamination": DECONTAMINATION_SQL}
+    return {
+        "op2_mixing": mixing.MIX_SQL,
+        "op4_token_ledger": token_ledger.LEDGER_SQL,
+        "op7_decontamination": DECONTAMINATION_SQL,
+        "op11_vector_codes": vector_codes.COMPRESS_SQL,
+        "op12_hard_negatives": hard_negatives.MINE_SQL,
+        "op13_topk_search": topk_search.SEARCH_SQL,
+    }
