@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scores as S
 from quillspark.operators.retrieval import top_k
+from quillspark.operators.rules import evaluate, rule, tables, when
 
 from .register import query
 
@@ -274,7 +275,9 @@ def s18_compass(supplier):
 @query("part", sql="SELECT p_partkey, p_size * 1.0 - CASE WHEN p_type = 'ECONOMY' THEN 5 ELSE 0 END + CASE WHEN contains(p_name, 'red') THEN 3 ELSE 0 END AS score FROM part")
 def s37_rule_score(part):
     """Size, less a malus by type, plus a bonus by name."""
-    return part.select("p_partkey", (F.col("p_size") * F.lit(1.0) - F.when(F.col("p_type") == "ECONOMY", 5).otherwise(0) + F.when(F.contains("p_name", F.lit("red")), 3).otherwise(0)).cast("double").alias("score"))
+    made = [rule("size", 1, 0, per="size", factor=1), rule("economy", 2, -5, None, [when("type", "is", "ECONOMY")]), rule("red", 3, 3, None, [when("name", "has", "red")])]
+    facts = {"size": F.col("p_size"), "type": F.col("p_type"), "name": F.col("p_name")}
+    return evaluate(part, *tables(part.sparkSession, made), facts).select("p_partkey", F.col("points").alias("score"))
 
 
 @query("events", sql="WITH b(event_type, pts) AS (VALUES ('purchase', 5.0::DOUBLE), ('click', 2.0::DOUBLE)) SELECT user_id, sum(coalesce(pts, 0)) AS pts FROM events LEFT JOIN b USING (event_type) GROUP BY user_id")
@@ -286,7 +289,10 @@ def s39_boost_table(events):
 
 @query("part", sql="SELECT p_partkey, concat_ws('; ', CASE WHEN p_size > 25 THEN 'large' END, CASE WHEN p_retailprice > 1000 THEN 'dear' END, p_brand) AS reason FROM part")
 def s41_reason(part):
-    return part.select("p_partkey", F.concat_ws("; ", F.when(F.col("p_size") > 25, "large"), F.when(F.col("p_retailprice") > 1000, "dear"), "p_brand").alias("reason"))
+    """The reasons of the rules that hold for a part, then its brand."""
+    made = [rule("large", 1, 0, "large", [when("size", "above", low=25)]), rule("dear", 2, 0, "dear", [when("price", "above", low=1000)])]
+    out = evaluate(part, *tables(part.sparkSession, made), {"size": F.col("p_size"), "price": F.col("p_retailprice")})
+    return out.select("p_partkey", F.concat_ws("; ", "reasons", "p_brand").alias("reason"))
 
 
 @query("events", sql="SELECT event_id, TRY_CAST(json_extract('{\"k\": ' || (event_id % 7) || '}', '$.k') AS BIGINT) AS k FROM events")

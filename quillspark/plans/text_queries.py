@@ -9,6 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
 from quillspark.operators.chunking import chunk_documents, compress_texts, split_documents
 from quillspark.operators.evaluation import composite, pseudonym, rouge_l, sequence_similarity
+from quillspark.operators.rules import first_reason, rule, tables, when
 
 from .register import query
 from .retrieval_queries import BM25_CTE, token_sql
@@ -124,10 +125,9 @@ _GUARD = " ".join(f"WHEN regexp_matches({FOLD_SQL.format('text')}, '{p}') THEN {
 @query("documents", sql=f"SELECT doc_id, (CASE {_GUARD} END)::INTEGER AS rule_id FROM documents")
 def f3_injection_scan(docs):
     """The first guard rule that a text meets."""
-    rule = F.lit(None).cast("int")
-    for i, p in reversed(GUARD_RULES):
-        rule = F.when(T.fold(F.col("text")).rlike(p), i).otherwise(rule)
-    return docs.select("doc_id", rule.alias("rule_id"))
+    made = [rule(str(i), i, 0, str(i), [when("folded", "matches", p)]) for i, p in GUARD_RULES]
+    out = first_reason(docs.select("doc_id", T.fold(F.col("text")).alias("folded")), *tables(docs.sparkSession, made), {"folded": F.col("folded")}, "rule_id")
+    return out.select("doc_id", F.col("rule_id").cast("int").alias("rule_id"))
 
 
 #: Ordered signs, on the folded text, of an answer that isn't drawn from its context.
@@ -160,7 +160,10 @@ def f5_marker_scan(chats):
 
 @query("conversations", sql=f"SELECT conv_id, turn, CASE WHEN length(text) > 1500 THEN 'block' WHEN regexp_matches({FOLD_SQL.format('text')}, 'worthless|stupid') THEN 'warn' ELSE 'allow' END AS action FROM conversations")
 def f4_input_guard(chats):
-    return chats.select("conv_id", "turn", F.when(F.length("text") > 1500, "block").when(T.fold(F.col("text")).rlike("worthless|stupid"), "warn").otherwise("allow").alias("action"))
+    """What a guard of two rules does with a turn; ``f4_guard_cascade`` has the whole cascade."""
+    made = [rule("long", 1, 0, "block", [when("length", "above", low=1500)]), rule("harsh", 2, 0, "warn", [when("folded", "matches", "worthless|stupid")])]
+    out = first_reason(chats, *tables(chats.sparkSession, made), {"length": F.length("text"), "folded": T.fold(F.col("text"))}, "action", "allow")
+    return out.select("conv_id", "turn", "action")
 
 
 @query("conversations", sql="SELECT conv_id, turn, len(string_split(trim(text), ' ')) < 12 AND regexp_matches(lower(text), 'the|que|der') AS follow_up FROM conversations")
@@ -381,10 +384,10 @@ def s16_citation(bench, docs):
 
 @query("conversations", sql="SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the ') THEN 'english' WHEN contains(lower(text), 'que ') THEN 'romance' WHEN contains(lower(text), 'der ') THEN 'german' ELSE 'other' END AS intent FROM conversations")
 def s36_rule_intent(chats):
-    intent = F.lit("other")
-    for word, name in reversed((("the ", "english"), ("que ", "romance"), ("der ", "german"))):
-        intent = F.when(F.contains(F.lower("text"), F.lit(word)), name).otherwise(intent)
-    return chats.select("conv_id", "turn", intent.alias("intent"))
+    """The first intent that a turn's words show."""
+    made = [rule(name, i, 0, name, [when("text", "has", word)]) for i, (word, name) in enumerate((("the ", "english"), ("que ", "romance"), ("der ", "german")))]
+    out = first_reason(chats.select("conv_id", "turn", F.lower("text").alias("text")), *tables(chats.sparkSession, made), {"text": F.col("text")}, "intent", "other")
+    return out.select("conv_id", "turn", "intent")
 
 
 @query("conversations", sql="SELECT conv_id, turn, (contains(lower(text), 'scum') OR contains(lower(text), 'stupid') OR contains(lower(text), 'the')) AS found FROM conversations WHERE role = 'assistant'")
