@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a round's table to the shared checkpoint folder and read it again, which cuts its lineage.
-
-    Where spark.checkpoint.dir is unset, a session on one machine gets a temporary folder; a cluster is refused.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary folder; a cluster is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a round's table to the shared checkpoint folder and read it again, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quill_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again."""
+    for x in tables:
+        if at := getattr(x, "_quill_path", None):
+            path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
