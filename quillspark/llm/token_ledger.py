@@ -85,23 +85,24 @@ class TokenLedger:
         snapshot counts once both its sums and its list of batches are whole.
         """
         number, taken = self._snapshot()
-        batches = self.batches()
+        batches = self.batches()  # the sums and the list are of these; a batch committed from here on is in neither
         if set(batches) == set(taken):
             return len(taken)
         at = number + 1
-        self._sums().write.mode("overwrite").parquet(f"{self.path}/snapshot={at}")
+        self._sums(number, taken, batches).write.mode("overwrite").parquet(f"{self.path}/snapshot={at}")
         self.spark.createDataFrame([(b,) for b in batches], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/taken={at}")
         return len(batches)
 
-    def _sums(self) -> DataFrame:
-        number, taken = self._snapshot()
-        paths = [f"{self.path}/batch={b}" for b in self.batches() if b not in set(taken)] + ([f"{self.path}/snapshot={number}"] if number else [])
+    def _sums(self, number: int, taken: list[str], batches: list[str]) -> DataFrame:
+        """The sums of a snapshot and of the batches that it hasn't taken in."""
+        known = set(taken)
+        paths = [f"{self.path}/batch={b}" for b in batches if b not in known] + ([f"{self.path}/snapshot={number}"] if number else [])
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
 
     def totals(self) -> DataFrame:
         """The sums over all whole batches; keys that have come to nothing are left out."""
-        return self._sums().filter("docs <> 0 OR tokens <> 0")
+        return self._sums(*self._snapshot(), self.batches()).filter("docs <> 0 OR tokens <> 0")
 
 
 def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(TOKENIZERS)) -> DataFrame:
