@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -37,6 +37,12 @@ def targets(totals: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     return t.select("skey", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def random_key(seed: int = 0) -> Column:
+    """A hash of a row's doc_id and text: with the text, as many rows may share a doc_id, null among them."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), part("doc_id"), F.lit(":"), part("text")))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (and ``carry``: slim columns that tell rows of one doc_id apart) for each document.
 
@@ -50,7 +56,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed:
     """
     ws = Workspace(docs.sparkSession, "mix")
     extra = [c for c in carry if c != "doc_id"]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = random_key(seed)
     skey = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     slim = docs.select("doc_id", "source", *(c for c in carry if c not in ("doc_id", "source")), skey.alias("skey"), key.alias("key"), word_count(F.col("text")).alias("size")).withColumn("bucket", F.substring("key", 1, RANGE_DIGITS))
     slim = ws.table(slim)
@@ -69,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, seed:
 
 MIX_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('0:' || CAST(doc_id AS VARCHAR)) AS key,
+  SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
