@@ -147,14 +147,18 @@ def exact_hits(rows: DataFrame, window: int, keys: tuple[str, ...] = ()) -> Data
     return rows.select(*names, "text", "places").mapInArrow(run, ", ".join(["doc_id long", *(f"{c} string" for c in keys), "n_words long, n_hit long, items array<long>"]))
 
 
+def _vocabulary(words: DataFrame) -> np.ndarray | None:
+    """The items' terms, sorted, if they are few enough to be sent to every task."""
+    terms = words.select("term").distinct()
+    if terms.count() > MAX_VOCABULARY:
+        return None
+    return np.sort(np.array([r[0] for r in terms.collect()], np.int64))
+
+
 def _matched(docs: DataFrame, items: DataFrame, window: int, ws: Workspace, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The exact hits of the rows where an item may stand, the index, and the doc_ids of those rows."""
     words = ws.table(item_words(items))
-    terms = words.select("term").distinct()
-    vocabulary = None
-    if terms.count() <= MAX_VOCABULARY:
-        vocabulary = np.sort(np.array([r[0] for r in terms.collect()], np.int64))
-    index = ws.table(build_index(docs, vocabulary))
+    index = ws.table(build_index(docs, _vocabulary(words)))
     found = ws.table(candidates(index, words, window))
     texts = words.groupBy("uid").agg(F.first("item_id").alias("item_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word).alias("words"))
     at = found.groupBy("doc_id", "uid").agg(F.collect_list("diag").alias("diags"))
@@ -188,9 +192,65 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     return out.select(loose(), "n_words", "n_hit", "items")
 
 
-def proximity(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3) -> DataFrame:
-    """(item_id, doc_id) where the two rarest terms of one of the item's windows stand apart as in the item, give or take ``slop`` words; the other words aren't looked at."""
+def near_hits(rows: DataFrame, window: int, slop: int) -> DataFrame:
+    """(doc_id, uid) of rows (doc_id, text, places) whose text holds a near match of the place's item; a place is (uid, diags, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places = batch.column("doc_id"), batch.column("places")
+            row, found = [], []
+            for lo, hi, data, offsets in kernels.text_chunks(batch.column("text")):
+                data, starts, ends, first = _tokens(data, offsets)
+                raw = data.tobytes()
+                for i in range(lo, hi):
+                    at: dict[bytes, list[int]] = {}
+                    for p, (s, e) in enumerate(zip(starts[first[i - lo] : first[i - lo + 1]].tolist(), ends[first[i - lo] : first[i - lo + 1]].tolist())):
+                        at.setdefault(raw[s:e], []).append(p)
+                    for place in places[i].as_py():
+                        start = np.unique(np.add.outer(place["diags"], np.arange(-slop, slop + 1)))
+                        run_of = np.zeros(len(start), np.int64)  # item words in a row that stand near their place, by start
+                        need = min(window, len(place["words"]))
+                        for k, word in enumerate(place["words"]):
+                            stands = np.array(at.get(word.encode(), [1 << 60]))
+                            nearest = stands[np.minimum(np.searchsorted(stands, start + k - slop), len(stands) - 1)]
+                            run_of = np.where(np.abs(nearest - start - k) <= slop, run_of + 1, 0)
+                            if (run_of >= need).any():
+                                row.append(i)
+                                found.append(place["uid"])
+                                break
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(found, pa.int64())], ["doc_id", "uid"])
+
+    return rows.select("doc_id", "text", "places").mapInArrow(run, "doc_id long, uid long")
+
+
+def proximity(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 2) -> DataFrame:
+    """(doc_id, item_id), each once: documents that hold a window of an item, each of its words at most ``slop`` words from its place.
+
+    A near match has a start, and the item's k-th word stands within ``slop`` words of start + k, for
+    ``window`` words in a row (all of a shorter item). So words may change places, go in between or be
+    left out by as much as that shifts. In any near match the places of two words, less their offsets,
+    differ by twice ``slop`` at most, so the lists of the window's two rarest terms give all candidates;
+    each is then checked against the text. Null and wordless texts and items match nothing. Other columns
+    are ignored. With either table empty nothing matches.
+    """
     ws = Workspace(docs.sparkSession, "proximity")
     words = ws.table(item_words(items))
-    index = ws.table(build_index(docs))
-    return candidates(index, words, window, slop).join(words.select("uid", "item_id").distinct(), "uid").select("item_id", "doc_id").distinct()
+    index = ws.table(build_index(docs, _vocabulary(words)))
+    found = ws.table(candidates(index, words, window, 2 * slop))
+    texts = words.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word).alias("words"))
+    at = found.groupBy("doc_id", "uid").agg(F.collect_list("diag").alias("diags"))
+    places = at.join(texts, "uid").groupBy("doc_id").agg(F.collect_list(F.struct("uid", "diags", "words")).alias("places"))
+    rows = docs.select(solid(), F.col("text").cast("string")).join(places, "doc_id")
+    hits = near_hits(rows, window, slop).join(words.select("uid", "item_id").distinct(), "uid")
+    return hits.select(loose(), "item_id").distinct()
+
+
+NEAR_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS k FROM i),
+s AS (SELECT DISTINCT doc_id, item_id, n, k, p - k + e AS start FROM dw JOIN iw USING (word), (SELECT unnest(range(-2, 3)) AS e)),
+g AS (SELECT doc_id, item_id, n, k - row_number() OVER (PARTITION BY doc_id, item_id, start ORDER BY k) AS island, start FROM s)
+SELECT DISTINCT doc_id, item_id FROM g GROUP BY doc_id, item_id, n, start, island HAVING count(*) >= least(n, 10)
+"""

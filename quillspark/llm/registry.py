@@ -51,6 +51,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def near_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item with each word at most two words from its place."""
+    return phrase_index.proximity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.render_roles(_table(spark, sf_dir, "conversations"))
 
@@ -78,7 +83,7 @@ def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     texts = (op1_quality_rules, op2_mixing, op3_line_dedup, op4_token_ledger, op5_toxicity, op6_language_id, op7_decontamination, op8_chat_repair, op9_simhash, op10_quality)
-    return {f.__name__: f for f in (*texts, op11_vector_codes, op12_hard_negatives, op13_topk_search)}
+    return {f.__name__: f for f in (*texts, near_phrases, op11_vector_codes, op12_hard_negatives, op13_topk_search)}
 
 
 DECONTAMINATION_SQL = r"""
@@ -102,6 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.MIX_SQL,
         "op4_token_ledger": token_ledger.LEDGER_SQL,
         "op7_decontamination": DECONTAMINATION_SQL,
+        "near_phrases": phrase_index.NEAR_SQL,
         "op11_vector_codes": vector_codes.COMPRESS_SQL,
         "op12_hard_negatives": hard_negatives.MINE_SQL,
         "op13_topk_search": topk_search.SEARCH_SQL,
