@@ -351,13 +351,22 @@ def dropped_lines(rows: DataFrame, ws: Workspace, similarity: float = SIMILARITY
     return out
 
 
+def without_lines(text: Column, dropped: Column) -> Column:
+    """A text without the lines of these numbers, in time that grows with its lines."""
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)  # by a hash set
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return F.get(F.transform(F.array(F.split(text, "\n")), rest), F.lit(0))  # a list of one, so the text is split once
+
+
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without their dropped lines; the other columns stay, n_chars is counted anew."""
     spark = docs.sparkSession
     packed = keyed(docs, Workspace(spark, "rows"))
     gone = dropped_lines(packed, Workspace(spark, "lines"), similarity)
-    parts = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: ~F.array_contains("dropped", e.i))
-    rest = F.array_join(F.transform(parts, lambda e: e.x), "\n")
+    rest = without_lines(F.col("row.text"), F.col("dropped"))
     row = F.col("row").withField("text", rest)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(rest).cast(docs.schema["n_chars"].dataType))
