@@ -140,6 +140,33 @@ def test_ledger(spark, sf, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.execute(token_ledger.LEDGER_SQL).fetchall())
 
 
+def test_ledger_compaction_beside_a_commit(spark, tmp_path, monkeypatch):
+    schema = "change string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    ledger = token_ledger.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.commit("1", spark.createDataFrame([("insert", "a", "en", "v", 5, None)], schema))
+    listed = ledger.batches
+
+    def late():
+        out = listed()
+        if not ledger.committed("2"):
+            ledger.commit("2", spark.createDataFrame([("insert", "a", "en", "v", 6, None)], schema))
+        return out
+
+    monkeypatch.setattr(ledger, "batches", late)
+    assert ledger.compact() == 1
+    monkeypatch.undo()
+    assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 2, 11)]
+    assert ledger.compact() == 2 and [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "v", 2, 11)]
+
+
+def test_mixing_spreads_rows_of_one_id(spark):
+    rows = [(None if i % 3 else 4, f"words {i} and more", "en", "s", 0) for i in range(600)]
+    df = spark.createDataFrame(rows, DOC)
+    got = mixing.mix(df, weights=(1,)).collect()
+    assert sum(r.taken for r in got) == sum(r.size for r in got) == 2400
+    assert df.select(mixing.random_key()).distinct().count() == 600
+
+
 def test_toxicity_learns_words_and_forms(spark):
     rng = random.Random(6)
     texts, bad = [], []
@@ -208,6 +235,43 @@ def test_phrases_by_brute_force(spark):
     assert {(k, i) for i, (_, _, found) in got.items() for k in found} <= near
 
 
+def near_pairs(texts, items, window=10, slop=2):
+    """(item, document) by trying every start."""
+    out = set()
+    for d, t in enumerate(texts):
+        stands = defaultdict(list)
+        w = WORD7.findall(lower(t))
+        for p, x in enumerate(w):
+            stands[x].append(p)
+        for k, text in items:
+            item = WORD7.findall(lower(text))
+            for start in range(-len(item) - slop, len(w) + slop + 1):
+                run = 0
+                for j, x in enumerate(item):
+                    run = run + 1 if any(abs(p - start - j) <= slop for p in stands[x]) else 0
+                    if run == min(window, len(item)):
+                        out.add((k, d))
+    return out
+
+
+def test_near_matches_by_brute_force(spark):
+    rng = random.Random(17)
+    items = [(k, prose(rng, rng.choice([1, 3, 9, 12, 25]))) for k in range(12)] + [(12, "Café-NOIR"), (13, "!!"), (14, None), (15, "")]
+    texts = [prose(rng, 60) for _ in range(24)]
+    for i in range(24):
+        w = items[i % 12][1].split(" ")
+        for _ in range(i % 4):  # words moved, put in or left out
+            at = rng.randrange(len(w))
+            rng.choice([lambda: w.insert(at, "extra"), lambda: w.pop(at), lambda: w.insert(max(0, at - 2), w.pop(at))])()
+            w = w or ["extra"]
+        texts[i] = f"{texts[i][:80]} {' '.join(w).upper()} {texts[i][80:]}"
+    texts += ["the noir café", "café of the very noir", None, "", "amber " * 300]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in phrase_index.proximity(docs_of(spark, texts), bench).collect()}
+    want = near_pairs(texts, items)
+    assert got == want and len(want) > len({(k, i) for i, (_, _, found) in brute_hits(texts, items).items() for k in found})
+
+
 def test_chat_repair_by_enumeration(spark):
     rng = random.Random(8)
     chats, seqs = [], {}
