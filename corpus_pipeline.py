@@ -33,12 +33,12 @@ def _decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, and how many. The mix decides on slim rows; texts are joined to what it takes."""
+    """Documents that the mix takes words of, and how many, with their other columns but for those that the mix names. The mix decides on slim rows; whole rows are joined to what it takes."""
     rows = keyed(docs, Workspace(spark, "rows"))
     slim = rows.select(loose(), F.col("key").alias("row_key"), "row.source", "row.text")
     plan = mixing.mix(slim, carry=("row_key",)).filter("taken > 0")
     plan = Workspace(spark, "plan").table(plan.select(solid(), F.col("row_key").alias("key"), "size", "source_size", "target", "taken"))
-    carried = [F.col(f"row.{c}") for c in ("text", "lang", "source") if c in docs.columns]
+    carried = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "size", "source_size", "target", "taken")]
     # A row of the plan for each document kept, so joined by a shuffle at every size.
     return rows.join(plan.hint("merge"), ["doc_id", "key"]).select(loose(), *carried, "size", "source_size", "target", "taken")
 
