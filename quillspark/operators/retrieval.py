@@ -65,6 +65,11 @@ def bm25(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10, k
 
 def tfidf(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10, index: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query by the cosine of smoothed TF-IDF vectors."""
+    return top_k(tfidf_scores(docs, queries, did, qid, index), qid, did, k)
+
+
+def tfidf_scores(docs: DataFrame, queries: DataFrame, did: str, qid: str, index: DataFrame | None = None) -> DataFrame:
+    """(qid, did, score): the cosine of smoothed TF-IDF vectors of each query and document that share a term."""
     rows = term_index(docs, did) if index is None else index
     n_docs = docs.agg(F.count("*").alias("n_docs"))
     df = rows.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
@@ -76,21 +81,27 @@ def tfidf(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10,
     q_norms = asked.groupBy(qid).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("q_norm"))
     # The asked terms bring their weights to the postings, so the dot products need no weights of other terms.
     dots = rows.join(asked, "term").groupBy(qid, did).agg(F.sum(F.col("v") * (F.col("tf") / F.col("n") * F.col("idf"))).alias("dot"))
-    scored = dots.join(norms, did).join(q_norms, qid).select(qid, did, F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
-    return top_k(scored, qid, did, k)
+    return dots.join(norms, did).join(q_norms, qid).select(qid, did, F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
 
 
-#: Queries and vectors of a cell of the dense search.
-CELL_QUERIES, CELL_VECTORS = 1024, 65_536
+#: Queries and vectors of a cell of the dense search. Cells of equal sides copy the fewest rows for the products that they hold.
+CELL_QUERIES, CELL_VECTORS = 16_384, 16_384
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors (vec_id, embedding) of greatest dot product with each query (query_id, embedding).
 
     Blocks of queries meet slices of vectors in cells of bounded size, a task each; a cell gives its k best
-    for each of its queries, so only those go on. Neither table comes to the driver.
+    for each of its queries, so only those go on. Neither table comes to the driver. Null vectors, those with
+    a null component, and those of another length than most of ``vectors`` have, ask nothing and are never
+    found.
     """
-    n_queries, n_vectors = queries.count(), vectors.count()
+    whole = lambda df: df.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()))
+    vectors, queries = whole(vectors), whole(queries)
+    common = vectors.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    length, n_vectors = (common["length"], common["count"]) if common else (0, 0)
+    vectors, queries = vectors.filter(F.size("embedding") == length), queries.filter(F.size("embedding") == length)
+    n_queries = queries.count()
     blocks, slices = max(1, -(-n_queries // CELL_QUERIES)), max(1, -(-n_vectors // CELL_VECTORS))
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
