@@ -222,3 +222,36 @@ def topic_scores(hits: DataFrame, members: DataFrame, weights: DataFrame, cluste
     topic = members.join(clusters, "entity").select("chunk", "cluster").distinct().join(means, "cluster").groupBy("chunk").agg(F.log1p(F.sum("mean")).alias("cluster_term"))
     raised = F.col("score") + by_entity * F.coalesce("entity_term", F.lit(0.0)) + by_cluster * F.coalesce("cluster_term", F.lit(0.0))
     return hits.join(entity, "chunk", "left").join(topic, "chunk", "left").select("chunk", raised.alias("score"))
+
+
+def diffuse_gated(h: DataFrame, start: DataFrame, similar: DataFrame, semantic: DataFrame | None = None, rounds: int = 3, top: int = 50, gamma: float = 0.5, least: float = 0.01) -> DataFrame:
+    """(qid, entity, w): each question's activation of entities, spread over their clusters once and over the chunks near the question.
+
+    ``h`` is (entity, chunk, w), ``start`` (qid, entity, a), ``similar`` (qid, chunk, sim) of all chunks or of
+    the ``top`` nearest at least, ``semantic`` (entity, cluster, w). First each cluster takes in its entities'
+    activation and hands ``gamma`` of it back. In a round a chunk takes in its entities' activation, times its
+    likeness to the question if it is among the ``top`` chunks nearest to it (ties to the smaller chunk), and
+    hands it back; what is under ``least`` goes out. What is left is the next round's activation and counts
+    towards w. It ends when no question has any activation left.
+    """
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "chunk")
+    gates = cut(similar.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= top).select("qid", "chunk", "sim"))
+    a = start.groupBy("qid", "entity").agg(F.max("a").alias("a"))
+    if semantic is not None:
+        taken = semantic.join(a, "entity").groupBy("qid", "cluster").agg(F.sum(F.col("w") * F.col("a")).alias("x"))
+        back = semantic.join(taken, "cluster").groupBy("qid", "entity").agg((gamma * F.sum(F.col("w") * F.col("x"))).alias("a"))
+        a = a.unionByName(back).groupBy("qid", "entity").agg(F.sum("a").alias("a"))
+    total = None
+    for _ in range(rounds):
+        chunks = h.join(a, "entity").groupBy("qid", "chunk").agg(F.sum(F.col("w") * F.col("a")).alias("x")).join(gates, ["qid", "chunk"]).select("qid", "chunk", (F.col("x") * F.col("sim")).alias("x"))
+        a = cut(h.join(chunks, "chunk").groupBy("qid", "entity").agg(F.sum(F.col("w") * F.col("x")).alias("a")).filter(F.col("a") >= least))
+        total = a if total is None else total.unionByName(a)
+        if a.isEmpty():
+            break
+    return total.groupBy("qid", "entity").agg(F.sum("a").alias("w"))
+
+
+def cluster_activation(weights: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(qid, cluster, score): the mean activation of each cluster's entities (entity, cluster); entities without any count 0."""
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    return weights.join(clusters, "entity").groupBy("qid", "cluster").agg(F.sum("w").alias("w")).join(size, "cluster").select("qid", "cluster", (F.col("w") / F.col("n")).alias("score"))
