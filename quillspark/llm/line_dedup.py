@@ -82,7 +82,7 @@ def _parities(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     n, bits = len(first) - 1, (PARITY_WORDS * 64).bit_length() - 1
     both, low = _distinct(hashes, first)
     line = both >> _U(low)
-    cells = np.sort(both >> _U(low - bits))  # a shingle's cell: the highest bits of its hash
+    cells = both >> _U(low - bits)  # a shingle's cell: the highest bits of its hash, so still in order
     at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
     odd = cells[at[(np.diff(np.append(at, len(cells))) & 1).astype(bool)]]
     words = (odd >> _U(6)).astype(np.int64)
