@@ -102,3 +102,16 @@ def strip_marks(rows: DataFrame, column: str) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(bare, batch.schema.field(at).type))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def fold_marks(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` decomposed, without the marks U+0300 to U+036F, and with đ as d. Other marks stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = dict.fromkeys(range(0x300, 0x370))
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            bare = [None if t is None else t if t.isascii() else unicodedata.normalize("NFD", t).translate(gone).replace("đ", "d") for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(bare, batch.schema.field(at).type))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -56,6 +56,24 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
+def k_hop_each(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(seed, node, hop): nodes within so many undirected hops of each of the seeds (node), with the least."""
+    both = cut(undirected(edges))
+    reached = frontier = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).cast("long").alias("hop")).distinct()
+    for h in range(1, hops + 1):
+        step = frontier.join(both, frontier["node"] == both["src"]).select("seed", F.col("dst").alias("node")).distinct().join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier = cut(step.select("seed", "node", F.lit(h).cast("long").alias("hop")))
+        reached = reached.unionByName(frontier)
+    return reached
+
+
+def update_edges(edges: DataFrame, reports: DataFrame) -> DataFrame:
+    """Edges (src, dst, status and more) after reports (src, dst, new, at): a report holds in both directions, the last by ``at`` counts, the greater among equals."""
+    both = reports.select("src", "dst", "new", "at").unionByName(reports.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "new", "at"))
+    last = both.groupBy("src", "dst").agg(F.max_by("new", F.struct("at", "new")).alias("new"))
+    return edges.join(last, ["src", "dst"], "left").withColumn("status", F.coalesce("new", "status")).drop("new")
+
+
 def personal_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float | None = 1e-5) -> DataFrame:
     """(node, rank) over directed edges (src, dst, weight); dangling rank goes back to the seeds.
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.scores import haversine
 from quillspark.functions.text import fold
 
+from .graphs import cut
+
 #: Weights of the edges of a property graph, by relation; any other relation has 1.
 WEIGHTS = {"has_section": 0.8, "has_chunk": 0.7, "mentioned_in": 0.6, "contains_entity": 0.6, "is_type": 0.5, "co_occurs_with": 0.9}
 #: Entities of a chunk that count, the first ones.
@@ -113,17 +115,19 @@ def add_nodes(nodes: DataFrame, edges: DataFrame, derived: DataFrame, new: DataF
     A node that is there stays as it is, and its links are none; of repeated new rows one counts. A link to a
     node that isn't there, or to itself, is none. An edge is as long as its ends are apart, in metres to the
     centimetre. Only new nodes and those that they link to are worked out anew; all others keep their rows.
+    What is new and touched is written, as all results read it.
     """
-    fresh = new.select("node", "lat", "lon", "features").join(nodes.select("node"), "node", "left_anti").dropDuplicates(["node"])
+    fresh = cut(new.select("node", "lat", "lon", "features").join(nodes.select("node"), "node", "left_anti").dropDuplicates(["node"]))
     every = nodes.unionByName(fresh)
     at = every.select("node", "lat", "lon")
     pairs = links.join(fresh.select("node"), "node", "left_semi").filter("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
     ends = pairs.join(at.toDF("u", "ulat", "ulon"), "u").join(at.toDF("v", "vlat", "vlon"), "v")
-    added = ends.select("u", "v", F.round(haversine(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon")), 2).alias("length"))
+    added = cut(ends.select("u", "v", F.round(haversine(F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon")), 2).alias("length")))
     all_edges = edges.unionByName(added)
-    touched = fresh.select("node").union(added.select("u")).union(added.select("v")).distinct()
+    touched = cut(fresh.select("node").union(added.select("u")).union(added.select("v")).distinct())
     # The touched nodes' edges and those edges' other ends are all that their rows depend on.
     mine = all_edges.join(touched.withColumnRenamed("node", "u"), "u", "left_semi").unionByName(all_edges.join(touched.withColumnRenamed("node", "v"), "v", "left_semi").join(touched.withColumnRenamed("node", "u"), "u", "left_anti"))
+    mine = cut(mine.select("u", "v", "length"))
     around = mine.select(F.col("u").alias("node")).union(mine.select("v")).union(touched).distinct()
     again = neighbourhoods(every.join(around, "node", "left_semi"), mine).join(touched, "node", "left_semi")
     return every, all_edges, derived.join(touched, "node", "left_anti").unionByName(again)
