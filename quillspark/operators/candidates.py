@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.scores import detour, haversine
 
-from .explore import within
+from .explore import nearness, within
 from .fusion import merged_candidates
 from .graphs import cut, shortest_routes
 from .retrieval import tfidf_scores, top_k
@@ -126,3 +126,29 @@ def with_cold_start(found: DataFrame, interests: DataFrame, items: DataFrame, us
     cold = interests.join(have, user, "left_anti")
     like = top_k(tfidf_scores(items, cold, item, user).filter(F.col("score") >= least), user, item, k)
     return found.select(user, item, "score", "rank", F.lit("similar").alias("source")).unionByName(like.select(user, item, "score", "rank", F.lit("interests").alias("source")))
+
+
+def context_scores(pairs: DataFrame, points: Callable[[DataFrame], DataFrame], far: float = 1000.0) -> DataFrame:
+    """(rid, place, total, filtered) of pairs (rid, place, minute, metres, crowd, is_open): what their context is worth.
+
+    The points of ``points`` (a function of the pairs, as in ``candidates``), of the distance, and of the crowd.
+    A closed place is filtered as 'closed', one further off than ``far`` as 'out_of_radius'.
+    """
+    told = pairs.join(points(pairs).select("rid", "place", "points"), ["rid", "place"], "left")
+    crowded = F.when(F.col("crowd") >= 0.85, -15).when(F.col("crowd") <= 0.35, 5).otherwise(0)
+    total = F.coalesce("points", F.lit(0.0)) + nearness(F.col("metres"), far=far) + crowded
+    filtered = F.when(~F.coalesce("is_open", F.lit(True)), "closed").when(F.col("metres") > far, "out_of_radius")
+    return told.select("rid", "place", total.alias("total"), filtered.alias("filtered"))
+
+
+def enhanced(found: DataFrame, members: DataFrame, scored: DataFrame, limit: int = 8, share: float = 0.35, explore: float = 30.0) -> DataFrame:
+    """(rid, place, combined, source, rank): the ``limit`` best of candidates (rid, place, raw, source) with ``share`` of their context's score, and members of the cluster to explore.
+
+    ``scored`` is ``context_scores`` of all of them; what it filters goes. A member (rid, place) that is no
+    candidate comes in with ``explore`` over its context's score. Ties go to the smaller place.
+    """
+    kept = scored.filter("filtered IS NULL").select("rid", "place", "total")
+    rows = found.join(kept, ["rid", "place"]).select("rid", "place", F.round(F.col("raw") + share * F.col("total"), 9).alias("score"), "source")
+    more = members.select("rid", "place").distinct().join(found.select("rid", "place"), ["rid", "place"], "left_anti").join(kept, ["rid", "place"])
+    rows = rows.unionByName(more.select("rid", "place", F.round(F.col("total") + explore, 9).alias("score"), F.lit("explore_cluster").alias("source")))
+    return top_k(rows, "rid", "place", limit).select("rid", "place", F.col("score").alias("combined"), "source", "rank")

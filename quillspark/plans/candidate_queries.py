@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions.scores import haversine
 from quillspark.operators import candidates as D
+from quillspark.operators import explore as X
 from quillspark.operators import recommend as C
+from quillspark.operators.graphs import cut
+from quillspark.operators.retrieval import top_k
 from quillspark.operators.rules import evaluate, rule, tables, when
 
 from .recommend_queries import SIM_CTE, _visits
@@ -68,28 +72,67 @@ SELECT coalesce(gn.rid, lk.rid) AS rid, coalesce(gn.place, lk.place) AS place, r
   ['time_morning', 'time_context', 'personal_history', 'route_context', 'route_neighbor', 'ai_context', 'nearby_context', 'collaborative'][coalesce(turn, 7) + 1] AS source FROM gn FULL JOIN lk ON gn.rid = lk.rid AND gn.place = lk.place""")
 def c6_candidates_whole(customer, orders, nation):
     """Every customer's candidates from time, history, way, context, place and users alike, each under its best source."""
-    k, n = F.col("c_custkey"), F.col("n_nationkey").cast("long")
-    requests = customer.select(k.alias("rid"), k.alias("user"), (10 + k % 101 * 0.00006).alias("lat"), (106 + k % 89 * 0.00007).alias("lon"), (k * 37 % 1440).alias("minute"), F.when(k % 3 != 0, k % 25).alias("destination"))
-    places = nation.select(n.alias("place"), (10 + n % 5 * 0.0015).alias("place_lat"), (106 + F.floor(n / 5) * 0.0015).alias("place_lon"), (n % 11 / 10).alias("crowd"), (n != 13).alias("is_open"), (n % 4 == 1).alias("food"), (n == 20).alias("parking"))
+    return _found(customer, orders, nation)
+
+
+def _requests(customer):
+    k = F.col("c_custkey")
+    return customer.select(k.alias("rid"), k.alias("user"), (10 + k % 101 * 0.00006).alias("lat"), (106 + k % 89 * 0.00007).alias("lon"), (k * 37 % 1440).alias("minute"), F.when(k % 3 != 0, k % 25).alias("destination"))
+
+
+def _places(nation):
+    n = F.col("n_nationkey").cast("long")
+    return nation.select(n.alias("place"), (10 + n % 5 * 0.0015).alias("place_lat"), (106 + F.floor(n / 5) * 0.0015).alias("place_lon"), (n % 11 / 10).alias("crowd"), (n != 13).alias("is_open"), (n % 4 == 1).alias("food"), (n == 20).alias("parking"))
+
+
+def _kind():
+    return F.concat(F.lit("k"), (F.col("place") % 4).cast("string"))
+
+
+def _context(pairs):
+    return evaluate(pairs, *tables(pairs.sparkSession, CONTEXT), {"minute": F.col("minute"), "metres": F.col("metres"), "kind": _kind()})
+
+
+def _found(customer, orders, nation):
+    n = F.col("n_nationkey").cast("long")
     one = nation.select(n.alias("src"), ((n + 1) % 25).alias("dst"), (1.0 + n % 4).alias("weight")).unionByName(nation.filter("n_nationkey % 3 <> 0").select(n.alias("src"), ((n + 7) % 25).alias("dst"), (5.0 + n % 3).alias("weight")))
     edges = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     visits = orders.groupBy(F.col("o_custkey").alias("user"), (F.col("o_orderkey") % 25).alias("place")).agg(F.count("*").alias("visits"))
-    from quillspark.operators.retrieval import top_k
-
     alike = C.item_similarity(visits.withColumn("w", F.lit(1.0)), "user", "place", "w").withColumn("sim", F.round("sim", 6))
     seeds = top_k(visits.select("user", F.col("place").alias("item"), F.col("visits").alias("score")), "user", "item", 6).select("user", "item")
     similar = C.recommend(alike, seeds, "user").select("user", F.col("item").alias("place"), "score")
-    spark = customer.sparkSession
-    kind = F.concat(F.lit("k"), (F.col("place") % 4).cast("string"))
-
-    def context(pairs):
-        return evaluate(pairs, *tables(spark, CONTEXT), {"minute": F.col("minute"), "metres": F.col("metres"), "kind": kind})
 
     def boosts(pairs):
-        rows = pairs.join(customer.select(k.alias("user"), "c_mktsegment"), "user")
-        return evaluate(rows, *tables(spark, BOOSTS), {"kind": kind, "size": F.col("place")}, F.col("c_mktsegment"))
-
-    return D.candidates(requests, places, edges, visits, similar, context, boosts)
+        rows = pairs.join(customer.select(F.col("c_custkey").alias("user"), "c_mktsegment"), "user")
+        return evaluate(rows, *tables(pairs.sparkSession, BOOSTS), {"kind": _kind(), "size": F.col("place")}, F.col("c_mktsegment"))
+
+    return D.candidates(_requests(customer), _places(nation), edges, visits, similar, _context, boosts)
+
+
+ENHANCED_SQL = f"""WITH RECURSIVE {WORLD_CTE},
+c6 AS MATERIALIZED (SELECT coalesce(gn.rid, lk.rid) AS rid, coalesce(gn.place, lk.place) AS place, round(CASE WHEN raw IS NULL THEN least(100 * score, 12) + 8 ELSE raw + coalesce(least(100 * score, 12), 0) END, 6)::DOUBLE AS raw,
+  ['time_morning', 'time_context', 'personal_history', 'route_context', 'route_neighbor', 'ai_context', 'nearby_context', 'collaborative'][coalesce(turn, 7) + 1] AS source FROM gn FULL JOIN lk ON gn.rid = lk.rid AND gn.place = lk.place),
+vt AS (SELECT rid, place % 6 AS cl, count(*) AS n FROM dt WHERE metres <= 200 GROUP BY ALL), xc AS (SELECT rid, cl FROM vt QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, cl) = 1),
+mb AS (SELECT rid, place FROM xc JOIN pl ON place % 6 = cl),
+sc AS (SELECT rid, place, (CASE WHEN minute BETWEEN 300 AND 720 AND kind IN ('k0', 'k2') THEN 9 ELSE 0 END + CASE WHEN minute > 1000 AND kind = 'k1' THEN 8 ELSE 0 END + CASE WHEN kind = 'k3' THEN 7 ELSE 0 END + CASE WHEN metres > 400 THEN -3 ELSE 0 END
+  + CASE WHEN metres > 1000 THEN -20.0 WHEN metres <= 80 THEN 22.0 WHEN metres <= 200 THEN 18 - metres / 200 * 4 WHEN metres <= 500 THEN 12 - (metres - 200) / 300 * 6 ELSE greatest(0.0, 8 - (metres - 500) / 500 * 8) END
+  + CASE WHEN crowd >= 0.85 THEN -15 WHEN crowd <= 0.35 THEN 5 ELSE 0 END)::DOUBLE AS total FROM dt WHERE is_open AND metres <= 1000),
+al2 AS (SELECT rid, place, round(raw + 0.35 * total, 9) AS combined, source FROM c6 JOIN sc USING (rid, place)
+  UNION ALL SELECT rid, place, round(total + 30, 9), 'explore_cluster' FROM mb JOIN sc USING (rid, place) WHERE NOT EXISTS (SELECT 1 FROM c6 WHERE c6.rid = mb.rid AND c6.place = mb.place))
+SELECT rid, place, combined, source, row_number() OVER (PARTITION BY rid ORDER BY combined DESC, place) AS rank FROM al2 QUALIFY rank <= 8"""
+
+
+@query("customer", "orders", "nation", sql=ENHANCED_SQL)
+def c12_enhanced_list(customer, orders, nation):
+    """Each customer's eight best places: candidates with a share of their context's score, and what the cluster around has besides."""
+    requests, places = _requests(customer), _places(nation)
+    found = cut(_found(customer, orders, nation))
+    grouped = places.select("place", "place_lat", "place_lon", (F.col("place") % 6).alias("cluster"))
+    around = X.explore_clusters(requests, grouped, "rid", 200.0)
+    members = cut(around.select("rid", "cluster").join(grouped.select("place", "cluster"), "cluster").select("rid", "place"))
+    pairs = found.select("rid", "place").unionByName(members).distinct().join(requests.select("rid", "lat", "lon", "minute"), "rid").join(places, "place")
+    pairs = cut(pairs.withColumn("metres", F.round(haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3)).select("rid", "place", "minute", "metres", "crowd", "is_open"))
+    return D.enhanced(found, members, D.context_scores(pairs, _context))
 
 
 _TOKENS = r"[x for x in regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+') if len(x) >= 2 or regexp_matches(x, '^[0-9]+$')]"
@@ -112,8 +155,6 @@ SELECT custkey, item, score, rank, 'similar' AS source FROM hot
 UNION ALL SELECT custkey, item, score, row_number() OVER (PARTITION BY custkey ORDER BY score DESC, item) AS rank, 'interests' FROM cs WHERE score >= 0.05 QUALIFY rank <= 8""")
 def c5_cold_start(lineitem, orders, customer, part):
     """Parts like those that a customer bought; for customers without a history (every fourth's is taken as unknown) parts by what they say they like."""
-    from quillspark.operators.retrieval import top_k
-
     similar = C.item_similarity(_visits(lineitem), "l_orderkey", "l_partkey", "w").withColumn("sim", F.round("sim", 6))
     bought = lineitem.join(orders.filter("o_custkey % 4 <> 0"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("custkey"), F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").alias("score"))
     found = C.recommend(similar, top_k(bought, "custkey", "item", 6).select("custkey", "item"), "custkey").select("custkey", "item", "score", "rank")
