@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import jaccard, token_count, tokens
+from quillspark.sources.tables import spread
 
 from .graphs import cut
 
@@ -30,7 +31,7 @@ def postings(docs: DataFrame, did: str, terms: DataFrame | None = None) -> DataF
 
     Terms nobody asks for go before anything is shuffled.
     """
-    rows = docs.select(did, tokens(F.col("text")).alias("w")).select(did, F.size("w").alias("n"), F.explode("w").alias("term"))
+    rows = spread(docs.select(did, "text")).select(did, tokens(F.col("text")).alias("w")).select(did, F.size("w").alias("n"), F.explode("w").alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
     return rows.groupBy(did, "term", "n").agg(F.count("*").alias("tf"))
@@ -50,7 +51,7 @@ def bm25(docs: DataFrame, queries: DataFrame, did: str, qid: str, k: int = 10, k
     asked = query_terms(queries, qid)
     if index is None:
         hits = cut(postings(docs, did, asked))
-        stats = docs.agg(F.count("*").alias("n_docs"), F.avg(token_count(F.col("text"))).alias("avg_n"))
+        stats = spread(docs.select("text")).agg(F.count("*").alias("n_docs"), F.avg(token_count(F.col("text"))).alias("avg_n"))
     else:
         hits = index.join(asked.select("term").distinct(), "term", "left_semi")
         sizes = docs.agg(F.count("*").alias("n_docs")).crossJoin(index.agg(F.sum("tf").alias("n_terms")))  # a row each

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files are fewer than they are: a file's row groups, which one task each reads, may be one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def vectors(spark: SparkSession, path: str, column: str, dim: int) -> DataFrame:
     """Vectors of one dimension; a row of another fails the job."""
     df = spark.read.parquet(path)
