@@ -31,10 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
+def drop(*tables: DataFrame | None) -> None:
     """Delete tables of ``cut`` that nothing will read again."""
     for x in tables:
-        if at := getattr(x, "_quill_path", None):
+        if x is not None and (at := getattr(x, "_quill_path", None)):
             path = x.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(x.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -86,18 +86,19 @@ def personal_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 50, damp
     start = seeds.select("node").distinct().crossJoin(F.broadcast(n)).select("node", (1 / F.col("n")).alias("s"))
     nodes = flow.select(F.col("src").alias("node")).union(flow.select("dst")).union(start.select("node")).distinct()
     base = cut(nodes.join(start, "node", "left").join(total.select(F.col("src").alias("node"), F.lit(True).alias("out")), "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("out", F.lit(False)).alias("out")))
-    rank = base.select("node", F.col("s").alias("rank"))
+    rank, written = base.select("node", F.col("s").alias("rank")), None
     for _ in range(rounds):
         here = base.join(rank, "node")
         lost = here.agg(F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = rank.join(flow, rank["node"] == flow["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = here.join(got, "node", "left").crossJoin(F.broadcast(lost))  # lost is one row
         after = (1 - damping) * F.col("s") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("s"))
-        rank = cut(new.select("node", after.alias("rank"), F.abs(after - F.col("rank")).alias("change")))
-        if tolerance is not None and (rank.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+        written, before = cut(new.select("node", after.alias("rank"), F.abs(after - F.col("rank")).alias("change"))), written
+        drop(before)
+        rank = written.select("node", "rank")
+        if tolerance is not None and (written.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
             break
-        rank = rank.select("node", "rank")
-    return rank.select("node", "rank")
+    return rank
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -112,10 +113,12 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int | None = None
     while rounds is None or done < rounds:
         done += 1
         offers = changed.join(usable, changed["node"] == usable["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("weight")).alias("offer"))
+        old = changed, best
         changed = cut(offers.join(best, "node", "left").filter("cost IS NULL OR offer < cost").select("node", F.col("offer").alias("cost")))
         if changed.isEmpty():
             break
         best = cut(best.unionByName(changed).groupBy("node").agg(F.min("cost").alias("cost")))
+        drop(*old)
     return best
 
 
@@ -130,10 +133,37 @@ def shortest_routes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     while True:
         on = F.struct((F.col("route.cost") + F.col("weight")).alias("cost"), F.array_append("route.path", F.col("dst")).alias("path"))
         offers = changed.join(usable, changed["node"] == usable["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(on).alias("offer"))
+        old = changed, best
         changed = cut(offers.join(best, ["start", "node"], "left").filter("route IS NULL OR offer < route").select("start", "node", F.col("offer").alias("route")))
         if changed.isEmpty():
+            drop(usable, changed)
             return best.select("start", "node", "route.cost", "route.path")
         best = cut(best.unionByName(changed).groupBy("start", "node").agg(F.min("route").alias("route")))
+        drop(*old)
+
+
+def relation_paths(edges: DataFrame, asked: DataFrame, hops: int = 6) -> DataFrame:
+    """(qid, seed, hops, path): the way with fewest edges from a question's first seed that has one to its target, told by its relations.
+
+    ``edges`` (src, relation, dst) hold in the direction given, ``asked`` is (qid, turn, seed, target), seeds in
+    order of turn. Of equally short ways the first by its nodes counts, of several relations between two
+    nodes the first. Ways grow from all seeds at once, each only as far as ``hops``; a round's table is
+    written. A seed that is its target has a path of its own name.
+    """
+    steps = cut(edges.groupBy("src", "dst").agg(F.min("relation").alias("relation")))
+    start = asked.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.struct(F.lit(0).alias("n"), F.array("seed").alias("nodes"), F.lit("").alias("told")).alias("way"))
+    frontier = found = start
+    for h in range(1, hops + 1):
+        told = F.concat(F.col("way.told"), F.when(F.col("way.told") != "", " ").otherwise(""), "node", F.lit(" --["), "relation", F.lit("]-->"))
+        on = F.struct(F.lit(h).alias("n"), F.array_append("way.nodes", F.col("dst")).alias("nodes"), told.alias("told"))
+        offers = frontier.join(steps, frontier["node"] == steps["src"]).select("seed", F.col("dst").alias("node"), on.alias("way")).groupBy("seed", "node").agg(F.min("way").alias("way"))
+        frontier = cut(offers.join(found.select("seed", "node"), ["seed", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    rows = asked.join(found.withColumnRenamed("node", "target"), ["seed", "target"])
+    best = rows.groupBy("qid").agg(F.min_by(F.struct("seed", "target", "way"), "turn").alias("x"))
+    return best.select("qid", "x.seed", F.col("x.way.n").alias("hops"), F.concat(F.col("x.way.told"), F.when(F.col("x.way.n") > 0, " ").otherwise(""), F.col("x.target")).alias("path"))
 
 
 def multi_stop(edges: DataFrame, stops: list, opens: DataFrame | None = None) -> DataFrame:
@@ -273,3 +303,15 @@ def cluster_activation(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     """(qid, cluster, score): the mean activation of each cluster's entities (entity, cluster); entities without any count 0."""
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     return weights.join(clusters, "entity").groupBy("qid", "cluster").agg(F.sum("w").alias("w")).join(size, "cluster").select("qid", "cluster", (F.col("w") / F.col("n")).alias("score"))
+
+
+def context_edges(edges: DataFrame, backbone: int = 8) -> DataFrame:
+    """Edges (u, v, status, attention) with the degrees of their ends and, for the ``backbone`` ones of most attention, their rank.
+
+    The best are found by a top list, not by numbering all edges.
+    """
+    ends = edges.select(F.col("u").alias("k")).unionByName(edges.select(F.col("v").alias("k"))).groupBy("k").agg(F.count("*").alias("degree"))
+    best = edges.orderBy(F.desc("attention"), "u", "v").limit(backbone).select("u", "v", "attention")
+    ranked = best.select("u", "v", F.row_number().over(Window.orderBy(F.desc("attention"), "u", "v")).cast("long").alias("backbone"))
+    rows = edges.join(ends.toDF("u", "u_degree"), "u").join(ends.toDF("v", "v_degree"), "v").join(F.broadcast(ranked), ["u", "v"], "left")
+    return rows.select("u", "v", "status", "attention", "u_degree", "v_degree", "backbone")

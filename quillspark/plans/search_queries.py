@@ -73,13 +73,17 @@ def _keyword(asked, places):
     return C.best_and_rest(hits, "item_id", "doc_id", 0.0, 0.0, confidence=False).withColumn("score", F.lit(1.0))
 
 
-def _function(asked, places):
-    """Documents with the long words that a question names: 25 points each and 30 times the likeness."""
+def _function_hits(asked, places, k):
+    """The documents with the long words that a question names: 25 points each and 30 times the likeness."""
     long_words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split("form", r"\s+"), lambda w: F.length(w) >= SERVICE))).alias("word"))
     found = long_words(asked, "item_id").join(long_words(places, "doc_id"), "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     like = R.tfidf_scores(places.select("doc_id", "text"), asked.select("item_id", "text"), "doc_id", "item_id").withColumnRenamed("score", "like")
     scored = found.join(like, ["item_id", "doc_id"], "left").select("item_id", "doc_id", M.function_score(F.col("n"), F.coalesce("like", F.lit(0.0))).alias("score"))
-    return C.best_and_rest(R.top_k(scored, "item_id", "doc_id", 4), "item_id", "doc_id", 0.0, 0.0, confidence=False)
+    return R.top_k(scored, "item_id", "doc_id", k)
+
+
+def _function(asked, places):
+    return C.best_and_rest(_function_hits(asked, places, 4), "item_id", "doc_id", 0.0, 0.0, confidence=False)
 
 
 def _lexical(asked, docs):
@@ -152,3 +156,26 @@ def c16_memory_recall(emb):
 def c16_reinforced_recall(emb):
     """The three rows rated four or more that each asker recalls."""
     return _remembered(emb).recall(_askers(emb), 3, reward=4, itself=False)
+
+
+@query("embeddings", "documents", sql="""WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e), 6) AS score FROM d q JOIN d v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, v.e), 6) DESC, v.vec_id) <= 8)
+SELECT query_id, vec_id, score FROM s WHERE score >= 0.15 AND vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+def v12_entity_link_known(emb, docs):
+    """Each asker's eight nearest entities, those of 0.15 or more that a graph (here the English documents' numbers) has."""
+    hits = R.top_k(R.dense(emb, _askers(emb), 9).drop("rank").filter("query_id <> vec_id"), "query_id", "vec_id", 8)
+    return hits.filter("score >= 0.15").join(docs.filter("lang = 'en'").select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi").select("query_id", "vec_id", "score")
+
+
+@query("documents", "benchmark", sql=f"""WITH {BM25_CTE}, {TFIDF_CTE},
+m AS (SELECT item_id, score, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n FROM bm WHERE rank <= 20 WINDOW w AS (PARTITION BY item_id)),
+b AS (SELECT item_id, count(*) AS lexical, count(*) FILTER (n >= 0.72) AS recalled FROM m GROUP BY item_id), t AS (SELECT item_id, count(*) FILTER (score >= 0.05) AS linked, count(*) FILTER (35 * score >= 12) AS told FROM tm WHERE rank <= 20 GROUP BY item_id)
+SELECT item_id, coalesce(lexical, 0) AS lexical, coalesce(recalled, 0) AS recalled, coalesce(linked, 0) AS linked, coalesce(told, 0) AS told FROM b FULL JOIN t USING (item_id)""")
+def f8_score_thresholds(docs, bench):
+    """How many of a question's twenty hits pass each threshold: lexical score over 0, 0.72 of the best as a recall, likeness of 0.05 as a link, 12 points of 35 as context."""
+    index = R.term_index(docs, "doc_id")
+    lexical = R.min_max(R.bm25(docs, bench, "doc_id", "item_id", 20, index=index), "item_id")
+    cosine = R.tfidf(docs, bench, "doc_id", "item_id", 20, index=index)
+    a = lexical.groupBy("item_id").agg(F.count("*").alias("lexical"), F.count_if(F.col("norm_score") >= 0.72).alias("recalled"))
+    b = cosine.groupBy("item_id").agg(F.count_if(F.col("score") >= 0.05).alias("linked"), F.count_if(35 * F.col("score") >= 12).alias("told"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical", "recalled", "linked", "told")]
+    return a.join(b, "item_id", "full").select("item_id", *zero)
