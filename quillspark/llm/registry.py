@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.tables import spread
+
 from . import chat_repair, hard_negatives, language_id, line_dedup, mixing, phrase_index, quality_classifier, quality_rules, simhash, token_ledger, topk_search, toxicity, vector_codes
 from .workspace import Workspace
 
@@ -14,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
