@@ -27,15 +27,6 @@ def g4_tables(docs):
     return docs.filter(is_table(F.col("text"))).select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.contains(x, F.lit("|")))).cast("long").alias("barred"))
 
 
-@query("orders", "customer")
-def g4_history_chunks(orders, customer):
-    """Each customer's orders as a table of text, in chunks of whole rows under its header."""
-    row = F.concat_ws(" | ", F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority", F.format_string("%.2f", "o_totalprice"))
-    texts = orders.select(F.col("o_custkey").alias("custkey"), F.struct("o_orderkey", row.alias("row")).alias("x")).groupBy("custkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    texts = texts.join(customer.select(F.col("c_custkey").alias("custkey")), "custkey").select("custkey", F.concat(F.lit("order | date | priority | price\n"), F.array_join(F.transform("xs", lambda x: x["row"]), "\n")).alias("text"))
-    return table_chunks(texts, "custkey")
-
-
 _DIM = 64
 GATED_CTE = f"""
 e AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
