@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import fold_marks
+from quillspark.operators import graphs as G
 from quillspark.operators import recommend as C
 from quillspark.plans import catalogue
 from quillspark.sources.tables import table
@@ -60,3 +61,31 @@ def test_fold_marks(spark):
     texts = ["Điện ấy ở đâu", "plain", None, "", "á̧ ê ñ", "ิ stays, ͠ goes", "ﬁ Å"]
     got = [x.t for x in fold_marks(spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("t", F.lower("t")), "t").sort("i").collect()]
     assert got == [None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not 0x300 <= ord(c) < 0x370).replace("đ", "d") for t in texts]
+
+
+@pytest.mark.parametrize("hops", [2, 6])
+def test_relation_paths_equal_a_search(spark, hops):
+    r = random.Random(3)
+    edges = {(f"n{r.randrange(14)}", r.choice(["a", "b"]), f"n{r.randrange(14)}") for _ in range(22)}
+    asked = [(q, t, r.choice([f"n{r.randrange(14)}", "missing"]), f"n{q % 14}") for q in range(30) for t in range(2)]
+    out = G.relation_paths(spark.createDataFrame(sorted(edges), "src string, relation string, dst string"), spark.createDataFrame(asked, "qid int, turn int, seed string, target string"), hops)
+    got = {x.qid: (x.seed, x.hops, x.path) for x in out.collect()}
+
+    def search(seed, target):
+        ways = {seed: [seed]}
+        for _ in range(hops):
+            new = {}
+            for node in ways:
+                for s, _, d in edges:
+                    if s == node and d not in ways:
+                        new[d] = min(new.get(d, [*ways[node], d]), [*ways[node], d])
+            # only ways that grew in the last round may grow on, which dictionary order of earlier ones doesn't change
+            ways |= new
+        return ways.get(target)
+
+    want = {}
+    for q, t, seed, target in asked:
+        if q not in want and (way := search(seed, target)):
+            told = [f"{a} --[{min(rel for s, rel, d in edges if (s, d) == (a, b))}]-->" for a, b in zip(way, way[1:])]
+            want[q] = (seed, len(way) - 1, " ".join([*told, target]))
+    assert got == want and len(want) >= 7
