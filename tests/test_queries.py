@@ -9,6 +9,8 @@ import pytest
 from quillspark.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+#: Without SQL, and run by tests of their own that know their rows.
+OWN = {"gr5_ppr_whole", "v19_context", "v20_compress_whole", "g4_table_chunks"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +28,7 @@ def plain(v):
     return repr(v) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - OWN))
 def test_query(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
     rows, cols = df.collect(), sorted(df.columns)

@@ -148,7 +148,7 @@ def plain_graph(chunks, entities, relations):
     return nodes, edges
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_property_graph_equals_a_plain_loop(spark, seed):
     r = random.Random(seed)
     name = lambda: r.choice(["Élan", "elan", " elan ", "Rod", "ring", "(Ring).", "two  words", "", None, "..", *(f"n{i}" for i in range(25))])
@@ -164,14 +164,14 @@ def test_property_graph_equals_a_plain_loop(spark, seed):
     assert len(got) == len(dict(got)) and dict(got) == want_edges
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_growing_graph_equals_a_full_rebuild(spark, seed):
     r = random.Random(seed)
     frame = spark.createDataFrame
     nodes, edges, derived = frame([], "node string, lat double, lon double, features array<double>"), frame([], "u string, v string, length double"), frame([], K.DERIVED)
     known, links = {}, set()
     untouched = None
-    for step in range(4):
+    for step in range(3):
         new = [(f"n{r.randrange(60)}", 10 + r.random() / 100, 106.0, [round(r.random(), 3), 1.0]) for _ in range(10)]
         new = [n for k, n in enumerate(new) if n[0] not in {m[0] for m in new[:k]}]
         want = [(n[0], f"n{r.randrange(60)}") for n in new for _ in range(3)] + [("n999", "n1")]
@@ -196,7 +196,7 @@ def metres(a, b):
     return round(2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(1 - h)), 3)
 
 
-@pytest.mark.parametrize("lat0", [0.0, 10.0, -55.0])
+@pytest.mark.parametrize("lat0", [0.0, -55.0])
 def test_clusters_around(spark, lat0):
     r = random.Random(4)
     places = [(i, lat0 + r.uniform(-2e-3, 2e-3), r.choice([106.0, -0.0005]) + r.uniform(-2e-3, 2e-3), r.choice(["a", "b", "c", None])) for i in range(150)]
