@@ -31,33 +31,37 @@ def snapped(pings: DataFrame, places: DataFrame, reach: float = REACH_M, eligibl
     offices). Places stand in grid cells of ``reach`` metres and their neighbours; a ping meets those of its
     own cell in one row, so an equal join does it, and the row needs no group. A ping with no place within
     reach, or without coordinates, has none. Cells narrow with latitude; up to 60 degrees they are wide enough.
+    Of places at one spot only the first by name can be nearest, so a spot stands once. In a table (not a stream)
+    the nearest place is looked for once for each spot that pings come from.
     """
     side = reach / _DEGREE_M
     eligible = F.col("kind").isin("building", "admin") if eligible is None else eligible
     cell = lambda c, width: F.floor(F.col(c) / width)
     around = lambda c, width: F.explode(F.sequence(cell(c, width) - 1, cell(c, width) + 1))
     rows = places.filter("lat IS NOT NULL AND lon IS NOT NULL").select("place", "lat", "lon", F.coalesce(eligible, F.lit(False)).alias("eligible"))
-    cells = rows.withColumn("y", around("lat", side)).withColumn("x", around("lon", 2 * side))
+    spots = rows.groupBy("lat", "lon").agg(F.min(F.struct("place", "eligible")).alias("p")).select("p.place", "lat", "lon", "p.eligible")
+    cells = spots.withColumn("y", around("lat", side)).withColumn("x", around("lon", 2 * side))
     cells = cells.groupBy("y", "x").agg(F.collect_list(F.struct("place", "lat", "lon", "eligible")).alias("near"))
-    met = pings.withColumn("y", cell("lat", side)).withColumn("x", cell("lon", 2 * side)).join(cells, ["y", "x"], "left")
     lat, lon = F.col("lat"), F.col("lon")
     ranked = F.transform("near", lambda p: F.struct(F.round(haversine(lat, lon, p["lat"], p["lon"]), 3).alias("metres"), p["place"].alias("place"), p["eligible"].alias("eligible")))
-    best = F.array_min(F.filter(ranked, lambda p: p["metres"] <= reach))
-    return met.withColumn("best", best).select("user_id", "event_id", "ts", "destination", "scheduled", "search", F.col("best.place").alias("place"), F.col("best.metres").alias("metres"), F.coalesce("best.eligible", F.lit(False)).alias("eligible"))
+    nearest = F.array_min(F.filter(ranked, lambda p: p["metres"] <= reach))
+    asked = pings if pings.isStreaming else pings.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    met = asked.withColumn("y", cell("lat", side)).withColumn("x", cell("lon", 2 * side)).join(cells, ["y", "x"], "left").withColumn("best", nearest)
+    if not pings.isStreaming:
+        met = pings.join(met.select("lat", "lon", "best"), ["lat", "lon"], "left")
+    return met.select("user_id", "event_id", "ts", "destination", "scheduled", "search", F.col("best.place").alias("place"), F.col("best.metres").alias("metres"), F.coalesce("best.eligible", F.lit(False)).alias("eligible"))
 
 
 def _moves(rows: DataFrame) -> DataFrame:
     """Snapped pings with whether the place is the last one's, the minutes since, and whether the visit was meant."""
     by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = rows.withColumn("n", F.count("search").over(by_user))  # searches up to the row
-    searches = rows.filter("search IS NOT NULL").select("user_id", F.col("n").alias("k"), F.col("search").alias("said"))
-    pings = rows.filter("search IS NULL")
+    own = Window.partitionBy("user_id", F.col("search").isNull()).orderBy("ts", "event_id")
+    said = F.struct(*(F.lag("search", back).over(own).alias(f"said{back}") for back in range(SEARCHES)))
+    rows = rows.withColumn("_said", F.when(F.col("search").isNotNull(), said))
+    pings = rows.withColumn("_said", F.last("_said", ignorenulls=True).over(by_user)).filter("search IS NULL").select("*", "_said.*").drop("_said")
     pings = pings.withColumn("same", F.coalesce(F.lag("place").over(by_user).eqNullSafe(F.col("place")) & (F.lag("event_id").over(by_user).isNotNull()), F.lit(False)))
     gap = micros("ts") - micros(F.lag("ts").over(by_user))
     pings = pings.withColumn("minutes", F.when(F.col("same") & (gap < GAP_S * 1_000_000), gap / 60e6).otherwise(0.0))
-    for back in range(SEARCHES):
-        one = searches.select("user_id", (F.col("k") + back).alias("n"), F.col("said").alias(f"said{back}"))
-        pings = pings.join(one, ["user_id", "n"], "left")
     meant = [F.col("place") == F.col("destination"), F.col("place") == F.col("scheduled"), *(F.contains(F.col(f"said{i}"), F.col("place")) for i in range(SEARCHES))]
     found = F.coalesce(meant[0], F.lit(False))
     for m in meant[1:]:
