@@ -121,10 +121,13 @@ def with_cold_start(found: DataFrame, interests: DataFrame, items: DataFrame, us
 
     ``interests`` is (user, text), ``items`` (item, text). Likeness is the cosine of TF-IDF vectors, of
     ``least`` or more. Only users without a recommendation are compared. A user with neither has no row.
+    A text that many users share is compared once.
     """
     have = found.select(user).distinct()
     cold = interests.join(have, user, "left_anti")
-    like = top_k(tfidf_scores(items, cold, item, user).filter(F.col("score") >= least), user, item, k)
+    texts = cold.groupBy("text").agg(F.min(user).alias("_asks"))
+    hits = top_k(tfidf_scores(items, texts, item, "_asks").filter(F.col("score") >= least), "_asks", item, k)
+    like = cold.join(texts, "text").select(user, "_asks").join(hits, "_asks")
     return found.select(user, item, "score", "rank", F.lit("similar").alias("source")).unionByName(like.select(user, item, "score", "rank", F.lit("interests").alias("source")))
 
 
