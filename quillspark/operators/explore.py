@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.scores import haversine
 
+from .graphs import cut
+
 #: Crowd from which a place is busy, and under which another is calm; metres to a calmer place.
 BUSY, CALM, CALM_M = 0.8, 0.65, 400.0
 _DEGREE_M = 111_195.0
@@ -31,13 +33,16 @@ def explore_clusters(points: DataFrame, places: DataFrame, pid: str, radius: flo
     """(pid, cluster, votes, near): the cluster of most places within the radius of a point, the smaller among equals, and all places there.
 
     ``places`` is (place, place_lat, place_lon, cluster); a place without a cluster is near but has no vote.
-    A point without a vote has no row.
+    A point without a vote has no row. Points at one spot get one answer, and places of a cluster at one spot
+    are counted before they meet.
     """
-    near = within(points.select(pid, "lat", "lon"), places, radius)
-    votes = near.groupBy(pid, "cluster").agg(F.count("*").alias("n"))
+    spots = points.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    counted = places.groupBy("place_lat", "place_lon", "cluster").agg(F.count("*").alias("here"))
+    near = within(spots, counted, radius)
+    votes = near.groupBy("lat", "lon", "cluster").agg(F.sum("here").alias("n"))
     best = F.min_by(F.struct("cluster", "n"), F.when(F.col("cluster").isNotNull(), F.struct(-F.col("n"), F.col("cluster"))))
-    rows = votes.groupBy(pid).agg(best.alias("best"), F.sum("n").alias("near"))
-    return rows.filter("best IS NOT NULL").select(pid, "best.cluster", F.col("best.n").alias("votes"), "near")
+    rows = votes.groupBy("lat", "lon").agg(best.alias("best"), F.sum("n").alias("near")).filter("best IS NOT NULL")
+    return points.select(pid, "lat", "lon").join(rows, ["lat", "lon"]).select(pid, "best.cluster", F.col("best.n").alias("votes"), "near")
 
 
 def crowd_now(predicted: Column, live: Column) -> Column:
@@ -63,25 +68,58 @@ def calmer_places(requests: DataFrame, places: DataFrame, services: DataFrame, n
     ``services`` (place, category), 5 a shared alias of ``names`` (place, alias), 25 if ``similar`` (a, b)
     pairs them, and half of the points for the distance; ties go to the smaller place. A request whose place
     isn't busy, or with no such place around, has no row.
+
+    Places with the same categories and aliases are alike, so from a spot only two of each kind count, the two
+    of most points for the distance (one may be the busy place itself); a spot and a kind of busy place have
+    one answer for all requests, again of two places. Places that ``similar`` pairs with the busy one are
+    looked at by themselves, and the better of both counts.
     """
     busy = places.filter(F.col("crowd") >= BUSY).select(F.col("place").alias("busy"))
     asked = requests.select(rid, "busy", "lat", "lon").join(busy, "busy", "left_semi")
     calm = places.filter((F.col("crowd") < CALM) & F.coalesce("is_open", F.lit(True))).select("place", "place_lat", "place_lon", "crowd")
-    near = within(asked, calm, CALM_M).filter("place <> busy").select(rid, "busy", "place", "crowd", "metres")
-    pairs = near.select("busy", "place").distinct()
-
-    def shared(of: DataFrame, by: str, points: float) -> DataFrame:
-        one = of.select("place", by).distinct()
-        met = pairs.join(one, "place").join(one.withColumnRenamed("place", "busy"), ["busy", by])
-        return met.groupBy("busy", "place").agg((points * F.count("*")).alias("p"))
-
-    both = similar.select("a", "b").unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    alike = pairs.join(both.toDF("busy", "place"), ["busy", "place"], "left_semi").withColumn("p", F.lit(25.0))
-    points = shared(services, "category", 20.0).unionByName(shared(names, "alias", 5.0)).unionByName(alike).groupBy("busy", "place").agg(F.sum("p").alias("p"))
+    kinds = cut(_kinds(places.select("place"), services, names))
+    spots = asked.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    points = F.round(0.5 * nearness(F.col("metres")), 6)
+    stand = Window.partitionBy("place_lat", "place_lon", "kind").orderBy("place")
+    firsts = calm.join(kinds, "place").withColumn("turn", F.row_number().over(stand)).filter("turn <= 2").drop("turn")
+    nearest = Window.partitionBy("lat", "lon", "kind").orderBy(F.desc("near"), "place")
+    by_kind = within(spots, firsts, CALM_M).withColumn("near", points).withColumn("turn", F.row_number().over(nearest)).filter("turn <= 2")
+    by_kind = cut(by_kind.select("lat", "lon", "kind", "place", "crowd", "metres"))
+    alike = cut(_likeness(kinds.join(calm.select("place"), "place", "left_semi").select("kind", "categories", "aliases").distinct(), kinds.join(busy.withColumnRenamed("busy", "place"), "place", "left_semi").select("kind", "categories", "aliases").distinct()))
+    asked = cut(asked.join(kinds.select(F.col("place").alias("busy"), F.col("kind").alias("wanted")), "busy"))
     score = F.round(F.coalesce("p", F.lit(0.0)) + 0.5 * nearness(F.col("metres")), 6)
-    rows = near.join(points, ["busy", "place"], "left").withColumn("score", score)
-    best = F.min_by(F.struct("place", "crowd", "metres", "score"), F.struct(-F.col("score"), F.col("place")))
-    return rows.groupBy(rid).agg(best.alias("best")).select(rid, "best.place", "best.crowd", "best.metres", "best.score")
+    rows = asked.select("lat", "lon", "wanted").distinct().join(by_kind, ["lat", "lon"]).join(alike, ["wanted", "kind"], "left").withColumn("score", score)
+    better = F.struct((-F.col("score")).alias("o"), "place", "crowd", "metres", "score")
+    two = rows.groupBy("lat", "lon", "wanted").agg(F.min(better).alias("a"))
+    second = rows.join(two.select("lat", "lon", "wanted", F.col("a.place").alias("first")), ["lat", "lon", "wanted"]).filter("place <> first").groupBy("lat", "lon", "wanted").agg(F.min(better).alias("b"))
+    two = two.join(second, ["lat", "lon", "wanted"], "left")
+    one = asked.join(two, ["lat", "lon", "wanted"]).select(rid, F.when(F.col("a.place") != F.col("busy"), F.col("a")).otherwise(F.col("b")).alias("x")).filter("x IS NOT NULL")
+    both = similar.select("a", "b").unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    pairs = asked.join(both.toDF("busy", "place"), "busy").join(calm, "place").join(kinds.select("place", "kind"), "place")
+    pairs = pairs.withColumn("metres", F.round(haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")), 3)).filter(F.col("metres") <= CALM_M)
+    pairs = pairs.join(alike, ["wanted", "kind"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)) + 25).withColumn("score", score)
+    every = one.unionByName(pairs.select(rid, better.alias("x")))
+    return every.groupBy(rid).agg(F.min("x").alias("x")).select(rid, "x.place", "x.crowd", "x.metres", "x.score")
+
+
+def _kinds(places: DataFrame, services: DataFrame, names: DataFrame) -> DataFrame:
+    """(place, kind, categories, aliases): the sorted categories and aliases of each place; kinds alike have one name."""
+    all_of = lambda of, by, name: of.groupBy("place").agg(F.array_sort(F.collect_set(by)).alias(name))
+    none = lambda of, by: F.coalesce(F.col(by), F.array().cast(of))
+    a, b = all_of(services, "category", "categories"), all_of(names, "alias", "aliases")
+    types = {**dict(a.dtypes), **dict(b.dtypes)}
+    rows = places.join(a, "place", "left").join(b, "place", "left").select("place", *(none(types[c], c).alias(c) for c in ("categories", "aliases")))
+    return rows.withColumn("kind", F.to_json(F.struct("categories", "aliases")))
+
+
+def _likeness(calm: DataFrame, busy: DataFrame) -> DataFrame:
+    """(wanted, kind, p): 20 a shared category and 5 a shared alias of a busy and a calm kind."""
+    rows = None
+    for by, points in (("categories", 20.0), ("aliases", 5.0)):
+        one = lambda df, name: df.select(F.col("kind").alias(name), F.explode(by).alias("v"))  # noqa: B023, E731
+        met = one(busy, "wanted").join(one(calm, "kind"), "v").groupBy("wanted", "kind").agg((points * F.count("*")).alias("p"))
+        rows = met if rows is None else rows.unionByName(met)
+    return rows.groupBy("wanted", "kind").agg(F.sum("p").alias("p"))
 
 
 def uniform(*parts: Column | str) -> Column:
