@@ -98,12 +98,16 @@ def neighbourhoods(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, degree, length, mean) of each node (node, lat, lon, features): its edges, their summed lengths, and the mean features of its neighbours.
 
     ``edges`` (u, v, length) stand once and hold in both directions. A node without edges has degree 0 and
-    its own features as mean.
+    its own features as mean. Neighbours are added from the greatest name down (longer names are greater), so a
+    mean doesn't hang on the order in which rows arrive.
     """
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("other"), "length").unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("other"), "length"))
     near = both.join(nodes.select(F.col("node").alias("other"), "features"), "other")
     sums = near.groupBy("node").agg(F.count("*").alias("degree"), F.round(F.sum("length"), 2).alias("length"))
-    parts = near.select("node", F.posexplode("features").alias("i", "x")).groupBy("node", "i").agg(F.avg("x").alias("x"))
+    w = Window.partitionBy("node", "i").orderBy(F.desc(F.length("other")), F.desc("other"))
+    parts = near.select("node", "other", F.posexplode("features").alias("i", "x"))
+    parts = parts.select("node", "i", F.row_number().over(w).alias("turn"), F.sum("x").over(w).alias("s"), F.count("x").over(w).alias("n"))  # a name stands once, so ranges are rows
+    parts = parts.groupBy("node", "i").agg(F.max_by(F.col("s") / F.col("n"), "turn").alias("x"))
     mean = parts.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("mean"))
     rows = nodes.select("node", "features").join(sums, "node", "left").join(mean, "node", "left")
     return rows.select("node", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("mean", "features").alias("mean"))

@@ -153,7 +153,7 @@ def gr14_grown_graph(supplier):
     for end in (last // 3, last // 2, last):  # a link's other end has a smaller number, so it is there
         now = spots.filter(F.col("node").cast("long") <= end).join(nodes.select("node"), "node", "left_anti")
         nodes, edges, derived = (G.cut(t) for t in K.add_nodes(nodes, edges, derived, now, links.join(now.select("node"), "node", "left_semi")))
-    return derived.select("node", "degree", "length", F.array_join(F.transform("mean", lambda x: F.format_string("%.4f", F.round(x, 4))), ",").alias("mean"))
+    return derived.select("node", "degree", "length", F.array_join(F.transform("mean", lambda x: F.format_string("%.4f", F.round(x * 10_000) / 10_000)), ",").alias("mean"))  # rounded as SQL does, not by the printed number
 
 
 PLACES_SQL = """
