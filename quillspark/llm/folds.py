@@ -11,6 +11,13 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, lang, y) of all labelled training rows."""
+    pick = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).distinct()
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    return docs.filter(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang")).join(pick, "doc_id")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, lang, y) of ``most`` labelled training rows at most, the first by hash of doc_id."""
     pick = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
