@@ -9,8 +9,9 @@ its conditions does; a rule without conditions always holds.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 RULES = "rule_set string, rule string, turn int, choice string, weight double, per string, factor double, most double, reason string"
@@ -20,6 +21,8 @@ CONDITIONS = "rule_set string, rule string, clause int, field string, op string,
 EVERY = "*"
 #: Conditions up to which a table of rules is sent to every task; a larger one is joined by a shuffle.
 MOST_BROADCAST = 20_000
+#: Rules and conditions up to which they are written into the subjects' columns and not joined at all.
+MOST_INLINE = 300
 
 #: What a condition may ask of a fact.
 OPS = ("is", "between", "above", "below", "word", "has", "matches", "present")
@@ -105,12 +108,16 @@ def evaluate(subjects: DataFrame, rules: DataFrame, conditions: DataFrame, facts
     those of ``EVERY``; a null or unknown set has the latter only. A fact that a subject lacks meets no
     condition, but a negated one does hold for it. The rules come to the subjects by one join and are tried
     row by row, so subjects are never shuffled for them (while the rules are few enough to be sent around).
+    Up to ``MOST_INLINE`` of them are columns of the subjects, so that patterns are compiled once, not in each row.
     Rules of equal turn come in order of name.
     """
     names = list(facts)
     kinds = dict(subjects.select(*(facts[n].alias(n) for n in names)).dtypes)
     known = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(_fact(kinds[n], facts[n]) for n in names)))
-    small = conditions.count() + rules.count() <= MOST_BROADCAST
+    n = conditions.count() + rules.count()
+    if n <= MOST_INLINE and conditions.filter(F.col("op").isNull() | ~F.col("op").isin(*OPS)).isEmpty():
+        return _inline(subjects, rules.collect(), conditions.collect(), {k: _fact(kinds[k], facts[k]) for k in names}, rule_set)
+    small = n <= MOST_BROADCAST
     sets = compiled(rules, conditions)
     common = sets.filter(F.col("rule_set") == EVERY).agg(F.first("rules").alias("_common"))  # one row, empty or not
     own = sets.filter(F.col("rule_set") != EVERY).select(F.col("rule_set").alias("_set"), F.col("rules").alias("_own"))
@@ -132,6 +139,54 @@ def evaluate(subjects: DataFrame, rules: DataFrame, conditions: DataFrame, facts
     return rows.withColumn("points", points).withColumn("reasons", reasons).drop("_facts", "_set", "_own", "_common", "_held")
 
 
+def _met(c: Row, fact: Column) -> Column:
+    """``_holds`` of a condition that is known beforehand."""
+    text, number, word, low, high = fact["text"], fact["number"], c["word"], c["low"], c["high"]
+    at = lambda x: F.lit(x).cast("double")
+    met = {
+        "is": lambda: text == F.lit(word) if word is not None else number == at(low),
+        "between": lambda: (number >= at(float("-inf") if low is None else low)) & (number <= at(float("inf") if high is None else high)),
+        "above": lambda: number > at(low),
+        "below": lambda: number < at(high),
+        "word": lambda: F.when(F.contains(text, F.lit(word)), F.regexp_like(text, F.lit(rf"(?U)(?<!\w)\Q{word}\E(?!\w)"))).otherwise(False),
+        "has": lambda: F.contains(text, F.lit(word)),
+        "matches": lambda: F.regexp_like(text, F.lit(word)),
+        "present": lambda: text.isNotNull(),
+    }[c["op"]]()
+    met = F.coalesce(met, F.lit(False))
+    return ~met if c["negated"] else met
+
+
+def _inline(subjects: DataFrame, rules: list[Row], conditions: list[Row], facts: Mapping[str, Column], rule_set: Column | None) -> DataFrame:
+    """``evaluate`` with few rules: each a column of whether it holds, and one array of those that count."""
+    no_fact = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("number"))
+    of: dict[tuple, dict] = {}
+    for c in conditions:
+        of.setdefault((c["rule_set"], c["rule"]), {}).setdefault(c["clause"], []).append(_met(c, facts.get(c["field"], no_fact)))
+    no_one = (False, "")
+    rules = sorted((r for r in rules if r["rule_set"] is not None), key=lambda r: (r["turn"], r["rule"], no_one if r["choice"] is None else (True, r["choice"])))
+    own = F.coalesce((F.lit(None) if rule_set is None else rule_set).cast("string"), F.lit(EVERY))
+    held, points, fired = {}, {}, []
+    for i, r in enumerate(rules):
+        clauses = [reduce(lambda a, b: a | b, cs) for cs in of.get((r["rule_set"], r["rule"]), {}).values()]
+        held[f"_h{i}"] = reduce(lambda a, b: a & b, clauses, F.lit(True) if r["rule_set"] == EVERY else own == F.lit(r["rule_set"]))
+        extra = F.lit(0.0)
+        if r["per"] is not None:
+            number = facts.get(r["per"], no_fact)["number"]
+            most = F.lit(r["most"]).cast("double")
+            extra = F.when(number.isNotNull(), F.lit(r["factor"]).cast("double") * F.least(number, most)).otherwise(0.0)
+        points[i] = F.lit(r["weight"]).cast("double") + extra
+        before = [F.col(f"_h{j}") for j in range(i) if r["choice"] is not None and rules[j]["choice"] == r["choice"]]
+        counts = reduce(lambda a, b: a & ~b, before, F.col(f"_h{i}"))
+        fired.append(F.when(counts, F.struct(F.lit(r["turn"]).cast("int").alias("turn"), F.lit(r["rule"]).alias("rule"), points[i].alias("points"), F.lit(r["reason"]).cast("string").alias("reason"))))
+    rows = subjects.withColumns(held) if held else subjects
+    none = F.array().cast("array<struct<turn:int,rule:string,points:double,reason:string>>")
+    rows = rows.withColumn("fired", F.array_compact(F.array(*fired)) if fired else none).drop(*held)
+    total = F.aggregate("fired", F.lit(0.0), lambda s, x: s + x["points"])
+    reasons = F.filter(F.transform("fired", lambda x: x["reason"]), lambda x: x.isNotNull())
+    return rows.withColumn("points", total).withColumn("reasons", reasons)
+
+
 def first_reason(subjects: DataFrame, rules: DataFrame, conditions: DataFrame, facts: Mapping[str, Column], name: str, default: str | None = None, rule_set: Column | None = None) -> DataFrame:
     """``subjects`` with ``name``: the reason of the first rule that holds, or ``default``."""
     rows = evaluate(subjects, rules, conditions, facts, rule_set)
