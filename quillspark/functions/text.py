@@ -34,7 +34,7 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words of two characters or more, and numbers."""
-    return F.filter(words(text), lambda x: (F.length(x) >= 2) | x.rlike("^[0-9]+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}|[0-9]"), F.lit(0))  # a run of two or more is always taken whole
 
 
 def token_count(text: Column) -> Column:

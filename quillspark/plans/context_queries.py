@@ -26,20 +26,20 @@ def rated_pairs(chats):
 def _turns(chats, bench):
     """(qid, score, role, content): the four turns nearest to each question by BM25, their scores scaled to 0 to 1."""
     texts = chats.select(F.xxhash64("conv_id", "turn", "role", "text").alias("id"), "role", "text").dropDuplicates(["id"])
-    hits = R.min_max(R.bm25(texts, bench, "id", "item_id", 4), "item_id")
-    return hits.join(texts, "id").select(F.col("item_id").alias("qid"), F.col("norm_score").alias("score"), "role", F.col("text").alias("content"))
+    hits = R.with_documents(R.min_max(R.bm25(texts, bench, "id", "item_id", 4), "item_id"), texts, "id")
+    return hits.select(F.col("item_id").alias("qid"), F.col("norm_score").alias("score"), "role", F.col("text").alias("content"))
 
 
 def _confirmed(chats, bench):
     """(qid, score, question, answer): the three best rated pairs nearest to each question."""
     pairs = rated_pairs(chats).filter(F.col("reward") >= GOOD).withColumn("id", F.xxhash64("conv_id", "turn", "question", "answer")).dropDuplicates(["id"])
     texts = pairs.select("id", F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("text"))
-    return R.bm25(texts, bench, "id", "item_id", 3).join(pairs, "id").select(F.col("item_id").alias("qid"), "score", "question", "answer")
+    return R.with_documents(R.bm25(texts, bench, "id", "item_id", 3), pairs, "id").select(F.col("item_id").alias("qid"), "score", "question", "answer")
 
 
 def sections(docs, bench, chats):
     """The inputs of ``assemble`` for benchmark questions."""
-    hits = R.bm25(docs, bench, "doc_id", "item_id", 20).join(docs.select("doc_id", "text", "source", "lang"), "doc_id")
+    hits = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", 20), docs.select("doc_id", "text", "source", "lang"), "doc_id")
     hits = hits.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("item"), "score", "rank", "text", F.col("source").alias("tag"), "lang")
     path = F.concat(F.lit("d"), F.col("item").cast("string"), F.lit(" -in_source-> "), "tag", F.lit(" -in_lang-> "), "lang")
     paths = hits.select("qid", "item", F.col("rank").alias("place"), path.alias("path"), "tag")
@@ -62,12 +62,12 @@ def v19_context(docs, bench, chats):
 SELECT item_id, doc_id, score FROM h QUALIFY row_number() OVER (PARTITION BY item_id, head ORDER BY score DESC, doc_id) = 1""")
 def v19_unique_hits(docs, bench):
     """Each question's twenty hits, of those that begin alike the best."""
-    hits = R.bm25(docs, bench, "doc_id", "item_id", 20).join(docs.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "item")
+    hits = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", 20), docs.select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "item")
     return C.best_of_prefix(hits, "item_id").select("item_id", F.col("item").alias("doc_id"), "score")
 
 
 @query("documents", "benchmark")
 def v20_compress_whole(docs, bench):
     """Each question's three best documents, whole texts compressed to 400 characters for it."""
-    hits = R.bm25(docs, bench, "doc_id", "item_id", 3).join(docs.select("doc_id", C.plain(F.col("text")).alias("body")), "doc_id").join(bench.withColumnRenamed("text", "question"), "item_id")
+    hits = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", 3), docs.select("doc_id", "text"), "doc_id").withColumn("body", C.plain(F.col("text"))).drop("text").join(bench.withColumnRenamed("text", "question"), "item_id")
     return C.compress_rows(hits.select("item_id", "doc_id", "body", "question", F.lit(400).alias("budget")), "body", "question", "budget").select("item_id", "doc_id", "body")

@@ -183,8 +183,8 @@ def v11_type_boost_whole(emb):
 
 
 def _hits_with_words(docs, bench, k):
-    hits = R.bm25(docs, bench, "doc_id", "item_id", k)
-    return hits.join(docs.select("doc_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")), "doc_id")
+    hits = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", k), docs.select("doc_id", "text"), "doc_id")
+    return hits.withColumn("words", F.array_sort(F.array_distinct(tokens(F.col("text"))))).drop("text")
 
 
 @query("documents", "benchmark", sql=f"""WITH {BM25_CTE}, h AS (SELECT item_id, doc_id, list_distinct(w) AS w FROM bm JOIN bd USING (doc_id) WHERE rank <= 10)
@@ -205,7 +205,7 @@ s AS (SELECT item_id, list_distinct([x for x in {token_sql("b.text")} if len(x)
 SELECT item_id, round(CASE WHEN len(q) = 0 THEN 1 ELSE len(list_intersect(q, list_distinct(c))) / len(q) END, 6) AS quality FROM s""")
 def v15_context_quality(docs, bench):
     """Part of a question's longer words that its best document's head holds."""
-    top = R.bm25(docs, bench, "doc_id", "item_id", 1).join(docs.select("doc_id", F.left("text", F.lit(3000)).alias("ctx")), "doc_id")
+    top = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", 1), docs.select("doc_id", F.left("text", F.lit(3000)).alias("ctx")), "doc_id")
     asked = bench.select("item_id", F.filter(tokens(F.col("text")), lambda x: F.length(x) >= 3).alias("q"))
     return asked.join(top, "item_id").select("item_id", F.round(overlap(F.col("q"), tokens(F.col("ctx"))), 6).alias("quality"))
 
@@ -216,7 +216,7 @@ u AS (SELECT *, coalesce(sum(budget) OVER (PARTITION BY item_id ORDER BY rank RO
 SELECT item_id, doc_id, budget, used::BIGINT AS used FROM u WHERE used < 3000""")
 def w5_context_budget(docs, bench):
     """Shares of the scores set each hit's budget; hits go in until the context is full."""
-    hits = R.bm25(docs, bench, "doc_id", "item_id", 6).join(docs.select("doc_id", F.length("text").alias("len")), "doc_id")
+    hits = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", 6), docs.select("doc_id", F.length("text").alias("len")), "doc_id")
     one = Window.partitionBy("item_id")
     share = F.col("score") / F.sum("score").over(one)
     hits = hits.withColumn("budget", F.least(F.col("len"), F.greatest(F.lit(300), F.least(F.lit(800), F.floor(F.round(share * 6 * 800, 3))))).cast("long"))
@@ -242,6 +242,6 @@ def w9_ndcg(docs, bench):
 SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY pool DESC, CASE WHEN pool THEN len END, rank) AS place FROM p""")
 def o3_pool_rerank(docs, bench):
     """The first five hits ordered anew (shortest first), the tail as it was."""
-    hits = R.bm25(docs, bench, "doc_id", "item_id", 10).join(docs.select("doc_id", F.length("text").alias("len")), "doc_id").withColumn("pool", F.col("rank") <= 5)
+    hits = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", 10), docs.select("doc_id", F.length("text").alias("len")), "doc_id").withColumn("pool", F.col("rank") <= 5)
     w = Window.partitionBy("item_id").orderBy(F.desc("pool"), F.when(F.col("pool"), F.col("len")), "rank")
     return hits.select("item_id", "doc_id", F.row_number().over(w).cast("long").alias("place"))

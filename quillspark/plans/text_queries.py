@@ -280,7 +280,7 @@ def _hit_pairs(docs, bench):
     Texts of hits are dealt out by pair, so that slow comparisons spread over the tasks.
     """
     hits = R.bm25(docs, bench, "doc_id", "item_id", 10).select("item_id", "doc_id")
-    pairs = hits.join(docs.select("doc_id", F.col("text").alias("answer")), "doc_id").join(bench.select("item_id", F.col("text").alias("reference")), "item_id")
+    pairs = R.with_documents(hits, docs.select("doc_id", F.col("text").alias("answer")), "doc_id").join(bench.select("item_id", F.col("text").alias("reference")), "item_id")
     return pairs.repartition("item_id", "doc_id")
 
 

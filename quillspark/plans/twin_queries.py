@@ -38,7 +38,7 @@ s AS (SELECT item_id, list_distinct([x for x in {token_sql("b.text")} if len(x)
 SELECT item_id, round(CASE WHEN len(q) = 0 THEN 1 ELSE len(list_intersect(q, list_distinct(c))) / len(q) END, 6) AS quality FROM s""")
 def v15_context_quality_whole(docs, bench):
     """Part of a question's longer words that its best document's whole text holds."""
-    top = R.bm25(docs, bench, "doc_id", "item_id", 1).join(docs.select("doc_id", T.tokens(F.col("text")).alias("c")), "doc_id")
+    top = R.with_documents(R.bm25(docs, bench, "doc_id", "item_id", 1), docs.select("doc_id", "text"), "doc_id").withColumn("c", T.tokens(F.col("text")))
     asked = bench.select("item_id", F.filter(T.tokens(F.col("text")), lambda x: F.length(x) >= 3).alias("q"))
     return asked.join(top, "item_id").select("item_id", F.round(T.overlap(F.col("q"), F.col("c")), 6).alias("quality"))
 
@@ -51,7 +51,8 @@ SELECT item_id, doc_id, rank, poor AS expanded FROM bm JOIN p USING (item_id) WH
 def v16_expansion_whole(docs, bench):
     """Ten hits; questions of which all ten together hold less than 15 in 100 of the longer words ask again, alone, for twenty."""
     hits = G.cut(R.bm25(docs, bench, "doc_id", "item_id", 10))
-    words = hits.join(docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")), "doc_id").select("item_id", "word").distinct()
+    texts = docs.join(G.cut(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    words = hits.join(texts.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("word")), "doc_id").select("item_id", "word").distinct()
     asked = bench.select("item_id", F.explode_outer(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) >= 3))).alias("word"))
     met = asked.join(words.withColumn("met", F.lit(1)), ["item_id", "word"], "left").groupBy("item_id").agg(F.count("word").alias("n"), F.count("met").alias("m"))
     quality = met.join(hits.select("item_id").distinct(), "item_id").select("item_id", F.when(F.col("n") == 0, 1.0).otherwise(F.col("m") / F.col("n")).alias("quality"))
