@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import cascade as C
 from quillspark.operators import fusion as M
+from quillspark.operators import graphs as G
 from quillspark.operators import retrieval as R
 from quillspark.operators.memory import Memory
 from quillspark.sources.versions import scratch
@@ -18,6 +20,8 @@ from .retrieval_queries import BM25_CTE, TFIDF_CTE
 NEAR, ANCHORS = ("the", "que", "der", "la"), ("tion", "keit", "cion", "eau")
 #: Letters of a word that names a service.
 SERVICE = 12
+#: What a common word adds to the sum of a pair's likeness, which stays far below it.
+SHARE = 1024.0
 
 
 def _forms(rows, key):
@@ -76,9 +80,17 @@ def _keyword(asked, places):
 def _function_hits(asked, places, k):
     """The documents with the long words that a question names: 25 points each and 30 times the likeness."""
     long_words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split("form", r"\s+"), lambda w: F.length(w) >= SERVICE))).alias("word"))
-    found = long_words(asked, "item_id").join(long_words(places, "doc_id"), "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    like = R.tfidf_scores(places.select("doc_id", "text"), asked.select("item_id", "text"), "doc_id", "item_id").withColumnRenamed("score", "like")
-    scored = found.join(like, ["item_id", "doc_id"], "left").select("item_id", "doc_id", M.function_score(F.col("n"), F.coalesce("like", F.lit(0.0))).alias("score"))
+    # A common word counts SHARE, over any likeness, so one sum holds both and no pair is a row before the best are known. A blank keeps words from terms.
+    service = lambda df, key, name, weight: long_words(df, key).groupBy(key, F.concat(F.lit(" "), "word").alias("term")).agg(F.count("*").cast("double").alias(name)).withColumn(name, weight * F.col(name))
+    v, x = R.tfidf_vectors(places.select("doc_id", "text"), asked.select("item_id", "text"), "doc_id", "item_id")
+    named = G.cut(service(asked, "item_id", "v", SHARE))
+    x = x.unionByName(service(places, "doc_id", "x", 1.0).join(named.select("term").distinct(), "term", "left_semi").select("doc_id", "term", "x"))
+
+    def score(sums):
+        n = np.floor(sums / SHARE)
+        return M.function_scores(n, np.round(sums - n * SHARE, 6))
+
+    scored = R.sparse_top(G.cut(v.unionByName(named)), x, "item_id", "doc_id", k, places.agg(F.count("*").alias("n_docs")), score, SHARE)
     return R.top_k(scored, "item_id", "doc_id", k)
 
 
