@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .folds import held_out, labelled
+from .folds import held_out, id_bits, id_filter, labels_to_learn
 from .workspace import Workspace
 
 #: A word has an embedding by its hash and one by the hash of its first bytes, which unseen forms share.
@@ -193,13 +194,19 @@ def _lists(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([words.flatten().to_numpy(), stems.flatten().to_numpy()], axis=1), cuts
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, words, first in word_buckets(batch.column("text")):
-            words = words[words[:, 0] < PADDING]
-            cuts = (first - PAD * np.arange(hi - lo + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(words[:, i]))) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "h", "y", "lang", "hold")), *lists], ["doc_id", "h", "y", "lang", "hold", "words", "stems"])
+def _encode(bits) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words and stems of the rows that the filter of ids holds."""
+        for batch in batches:
+            first, second = (batch.column(c).to_numpy() for c in ("first", "second"))
+            batch = batch.filter(pa.array((bits.value[first >> 6] >> (first & 63) & bits.value[second >> 6] >> (second & 63) & 1) > 0))
+            for lo, hi, words, first in word_buckets(batch.column("text")):
+                words = words[words[:, 0] < PADDING]
+                cuts = (first - PAD * np.arange(hi - lo + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(np.ascontiguousarray(words[:, i]))) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "h", "lang", "hold")), *lists], ["doc_id", "h", "lang", "hold", "words", "stems"])
+
+    return run
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +225,23 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at // size), pa.array(at % size), pa.array(present[at])], ["y", "at", "n"])
 
 
+def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, h, y, lang, hold, words, stems) of all labelled training rows.
+
+    A filter of the labelled ids leaves out other rows before anything is shuffled, and a row goes to its label
+    as hashed words. The join is by a shuffle at every size.
+    """
+    pick = labels_to_learn(labels, "toxic")
+    bits = id_filter(pick)
+    first, second = id_bits(64 * len(bits))
+    hold = F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(5)) == 4
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    rows = rows.select("doc_id", first.alias("first"), second.alias("second"), F.xxhash64("text", "lang").alias("h"), "lang", hold.alias("hold"), "text")
+    words = rows.mapInArrow(_encode(docs.sparkSession.sparkContext.broadcast(bits)), "doc_id long, h long, lang string, hold boolean, words array<int>, stems array<int>")
+    return words.join(pick.hint("merge"), "doc_id").select("doc_id", "h", "y", "lang", "hold", "words", "stems")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[ConvNet, dict[str, float]]:
     """The network and a threshold for each language, from all labelled training rows.
 
@@ -229,9 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[ConvNet, dict[str, float]]:
     """
     spark = docs.sparkSession
     space = Workspace(spark, "toxicity")
-    hold = F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(5)) == 4
-    picked = labelled(docs, labels, "toxic").select("doc_id", F.xxhash64("text", "lang").alias("h"), F.col("y"), "lang", hold.alias("hold"), "text")
-    rows = space.table(picked.mapInArrow(_encode, "doc_id long, h long, y int, lang string, hold boolean, words array<int>, stems array<int>"))
+    rows = space.table(learning_rows(docs, labels))
     try:
         return _fitted(rows)
     finally:
@@ -257,14 +279,17 @@ def _fitted(rows: DataFrame) -> tuple[ConvNet, dict[str, float]]:
     start = spark.sparkContext.broadcast(net)
 
     def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "h", "y")])  # the same order each run
+        order = pc.sort_indices(table, [(c, "ascending") for c in ("doc_id", "h", "y")]).to_numpy()  # the same order each run
         flat, cuts = _lists(table)
+        rows = [flat[cuts[i] : cuts[i + 1]] for i in order]
         own = copy.deepcopy(start.value)
         before = own.packed()
-        own.train([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])], table.column("y").to_numpy().astype(np.int64), epochs)
-        row = np.repeat(np.arange(len(table)), np.diff(cuts))
+        own.train(rows, table.column("y").to_numpy().astype(np.int64)[order], epochs)
         weight = np.full(len(before), len(table))
-        weight[: PADDING + 1] = sum(np.bincount(np.unique(row * (PADDING + 1) + flat[:, i]) % (PADDING + 1), minlength=PADDING + 1) for i in (0, 1))
+        weight[: PADDING + 1] = 0
+        for row in rows:  # one by one: a shard's pairs of rows and words at once would be several times its words
+            for i in (0, 1):
+                weight[np.unique(row[:, i])] += 1
         at = np.flatnonzero(weight)
         moved = np.rint((own.packed()[at] - before[at]) * UNIT).astype(np.int64) * weight[at, None]
         lists = pa.ListArray.from_arrays(np.arange(0, EMBEDDING * len(at) + 1, EMBEDDING, dtype=np.int32), pa.array(moved.ravel()))
