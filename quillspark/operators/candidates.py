@@ -121,8 +121,9 @@ def with_cold_start(found: DataFrame, interests: DataFrame, items: DataFrame, us
 
     ``interests`` is (user, text), ``items`` (item, text). Likeness is the cosine of TF-IDF vectors, of
     ``least`` or more. Only users without a recommendation are compared. A user with neither has no row.
-    A text that many users share is compared once.
+    A text that many users share is compared once. ``found`` is written, as it says who has one too.
     """
+    found = cut(found.select(user, item, "score", "rank"))
     have = found.select(user).distinct()
     cold = interests.join(have, user, "left_anti")
     texts = cold.groupBy("text").agg(F.min(user).alias("_asks"))

@@ -12,7 +12,7 @@ from quillspark.operators.graphs import cut
 from quillspark.operators.retrieval import top_k
 from quillspark.operators.rules import evaluate, rule, tables, when
 
-from .recommend_queries import SIM_CTE, _visits
+from .recommend_queries import SIM_CTE, _most_bought, _visits
 from .register import query
 from .rule_queries import is_
 
@@ -98,7 +98,7 @@ def _found(customer, orders, nation):
     one = nation.select(n.alias("src"), ((n + 1) % 25).alias("dst"), (1.0 + n % 4).alias("weight")).unionByName(nation.filter("n_nationkey % 3 <> 0").select(n.alias("src"), ((n + 7) % 25).alias("dst"), (5.0 + n % 3).alias("weight")))
     edges = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     visits = orders.groupBy(F.col("o_custkey").alias("user"), (F.col("o_orderkey") % 25).alias("place")).agg(F.count("*").alias("visits"))
-    alike = C.item_similarity(visits.withColumn("w", F.lit(1.0)), "user", "place", "w").withColumn("sim", F.round("sim", 6))
+    alike = C.item_similarity(visits.withColumn("w", F.lit(1.0)), "user", "place", "w")
     seeds = top_k(visits.select("user", F.col("place").alias("item"), F.col("visits").alias("score")), "user", "item", 6).select("user", "item")
     similar = C.recommend(alike, seeds, "user").select("user", F.col("item").alias("place"), "score")
 
@@ -155,9 +155,9 @@ SELECT custkey, item, score, rank, 'similar' AS source FROM hot
 UNION ALL SELECT custkey, item, score, row_number() OVER (PARTITION BY custkey ORDER BY score DESC, item) AS rank, 'interests' FROM cs WHERE score >= 0.05 QUALIFY rank <= 8""")
 def c5_cold_start(lineitem, orders, customer, part):
     """Parts like those that a customer bought; for customers without a history (every fourth's is taken as unknown) parts by what they say they like."""
-    similar = C.item_similarity(_visits(lineitem), "l_orderkey", "l_partkey", "w").withColumn("sim", F.round("sim", 6))
-    bought = lineitem.join(orders.filter("o_custkey % 4 <> 0"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("custkey"), F.col("l_partkey").alias("item")).agg(F.sum("l_quantity").alias("score"))
-    found = C.recommend(similar, top_k(bought, "custkey", "item", 6).select("custkey", "item"), "custkey").select("custkey", "item", "score", "rank")
+    similar = C.item_similarity(_visits(lineitem), "l_orderkey", "l_partkey", "w")
+    seeds = _most_bought(lineitem, orders.filter("o_custkey % 4 <> 0")).select("custkey", "item")
+    found = C.recommend(similar, seeds, "custkey").select("custkey", "item", "score", "rank")
     k = F.col("c_custkey")
     word = lambda ws, n: F.element_at(F.array(*map(F.lit, ws)), (k % n + 1).cast("int"))
     interests = customer.select(k.alias("custkey"), F.concat_ws(" ", word(("red", "blue", "hot", "cold", "old", "new"), 6), word(("ring", "bolt", "gear", "rod"), 4), F.lit("lover")).alias("text"))
